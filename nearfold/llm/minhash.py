@@ -7,10 +7,11 @@ value of a second permutation, circularly shifted by k. Two permutations so give
 2. ``BANDS`` bands of ``ROWS`` coordinates. A pair at the threshold shares a band but with probability
    (1 - 0.8**5)**42 < 1e-7.
 3. In each bucket, every class is held against the bucket's smallest id: as many pairs as members. Confirmed on the full
-   sets, these links are joined to components.
-4. Where a bucket then still holds several components, the pairs across components are confirmed too; pairs within one
-   need no look, since a further link changes nothing. So a large group of near copies costs its size, not its square,
-   and no link that could join two components is left out.
+   sets, these links are joined to components. A bucket of one component is done: a further link changes nothing.
+4. Members of the other buckets get sharper bands (``SHARP_BANDS`` of ``SHARP_ROWS``), which again hold every pair at the
+   threshold together but with probability (1 - 0.8**10)**130 < 1e-6, and hardly ever pairs below one half. What they
+   hold together is a cluster; its sets are intersected exactly, block against block, and only links that join something
+   leave a block. So no pairs are written, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from ._links import components
 from ._words import LOWER, SPACE, U64, blocks, grams, lists, longs, mix, words
 
 ROWS, BANDS = 5, 42
+SHARP_ROWS, SHARP_BANDS = 10, 130
+#: Of sets that are intersected with those of another block at a time.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18
 _U32 = np.uint32
 #: Shingles whose shifted values are held at a time, so that they stay in the processor's cache.
 _AT_ONCE = 256
@@ -61,9 +65,15 @@ def signature(shingles: np.ndarray, size: int) -> np.ndarray:
     return least
 
 
+def band_keys(sets: list[np.ndarray], rows: int, bands: int) -> np.ndarray:
+    """A 64-bit key for each band of each non-empty set."""
+    factors = mix(np.arange(1, rows + 1, dtype=U64)) | U64(1)
+    sigs = np.array([signature(s, rows * bands) for s in sets], _U32).reshape(len(sets), bands, rows)
+    return mix((sigs.astype(U64) * factors).sum(axis=2, dtype=U64) + mix(np.arange(bands, dtype=U64)))
+
+
 def _sign(width: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = mix(np.arange(1, rows + 1, dtype=U64)) | U64(1)
         for batch in batches:
             for lo, hi, buf, bounds in blocks(batch.column(1)):
                 sets = shingle_sets(buf, bounds, width)
@@ -71,8 +81,7 @@ def _sign(width: int, rows: int, bands: int):
                 low = np.array([int(s.sum(dtype=U64)) for s in map(mix, sets)], U64)
                 high = np.array([int(np.bitwise_xor.reduce(s * U64(0xD6E8FEB86659FD93) ^ (s >> U64(17)))) if len(s) else 0 for s in sets], U64)
                 full = np.flatnonzero(sizes)
-                sigs = np.array([signature(sets[i], rows * bands) for i in full], _U32).reshape(len(full), bands, rows)
-                keys = mix((sigs.astype(U64) * factors).sum(axis=2, dtype=U64) + mix(np.arange(bands, dtype=U64)))
+                keys = band_keys([sets[i] for i in full], rows, bands)
                 lengths = np.where(sizes > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), longs(sizes), longs(low), longs(high), lists(keys.ravel(), lengths)], ["doc_id", "n_shingles", "low", "high", "bands"])
 
@@ -99,6 +108,65 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(common * 100 >= (na + nb - common) * percent).select("a", "b")
 
 
+def _sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            sets = [s.values.to_numpy().view(U64) for s in part.column("shingles")]
+            keys = band_keys(sets, SHARP_ROWS, SHARP_BANDS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(keys.ravel(), np.full(len(sets), SHARP_BANDS))], ["doc_id", "keys"])
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set, the first set that links of 100 * intersection >= percent * union reach."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # what only one set holds is in no intersection
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[place] > 1
+    owner, place = owner[shared], column[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    step = 4096
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        a, b = np.searchsorted(place, [lo, lo + step])
+        x = np.zeros((len(sets), step), np.float32)
+        x[owner[a:b], place[a:b] - lo] = 1
+        common += x @ x.T
+    common = common.astype(np.int64)
+    near = common * 100 >= (sizes[:, None] + sizes[None] - common) * percent
+    np.fill_diagonal(near, True)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label[None], len(sets)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _clustered(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all components within each cluster ``labels`` (id, label) of ``sets`` (doc_id, shingles)."""
+    placed = sets.join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "shingles", F.col("label").alias("cluster"))
+    blocks_ = F.ceil(F.greatest(F.count("doc_id") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
+    count = placed.groupBy("cluster").agg(blocks_.alias("n"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))
+    dealt = placed.join(count, "cluster").withColumn("mine", mine).select("doc_id", "shingles", "cluster", F.explode(meet).alias("m")).select("doc_id", "shingles", "cluster", "m.x", "m.y")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        sets_ = [table.column("shingles")[int(i)].values.to_numpy() for i in order]
+        label = linked(sets_, percent)
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": pa.array(ids[order][label[other]]), "b": pa.array(ids[order][other])})
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string; more columns are not read).
 
@@ -122,14 +190,13 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows:
     labelled = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     open_ = _store.table(labelled.join(mixed, "key", "left_semi"), "open")
-    groups = open_.select("key", "label").distinct()
-    across = groups.withColumnRenamed("label", "la").join(groups.withColumnRenamed("label", "lb"), "key").where("la < lb")
-    left = open_.select("key", F.col("label").alias("la"), F.col("doc_id").alias("x"))
-    right = open_.select("key", F.col("label").alias("lb"), F.col("doc_id").alias("y"))
-    further = across.join(left, ["key", "la"]).join(right, ["key", "lb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _store.table(_confirm(further.join(star, ["a", "b"], "left_anti"), sets, percent), "confirmed")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    several = _store.table(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), "several")
+    sharp = several.mapInArrow(_sharpen, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    sharp = _store.table(sharp, "sharp")
+    heads = sharp.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
+    held_together = sharp.join(heads, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    more = _store.table(_clustered(several, components(held_together), percent), "confirmed")
+    labels = components(links.union(more))
 
     found = held.distinct().join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
