@@ -3,15 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import langid, license_scan, minhash, mixing, pii, secrets, toxicity
 from ._store import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("found", lambda s: s["kind"] < sum(k.base for k in pii.KINDS))
+    counts = [of(i).alias(f"n_{k.name}") for i, k in enumerate(pii.KINDS) if k.base]
+    score = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("found")).alias("spans"), score.alias("score"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(read(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("spans", lambda s: s["label"]))))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES = {"op6_minhash": op6_minhash}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("found", lambda s: s["kind"] < sum(k[5] for k in secrets.KINDS))
+    counts = [of(i).alias(f"n_{k[0]}") for i, k in enumerate(secrets.KINDS) if k[5]]
+    live = F.size(F.filter("found", lambda s: s["live"])).cast("long")
+    owners = F.coalesce(F.array_max(F.transform("found", lambda s: s["owners"])), F.lit(0))
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), live.alias("n_live"), owners.cast("long").alias("most_owners"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op9_secrets": op9_secrets}
 
 ORACLES: dict[str, str] = {}
