@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, minhash, mixing, pii, secrets, toxicity
+from . import embedding, langid, license_scan, minhash, mixing, pii, secrets, toxicity
 from ._store import read
 
 
@@ -55,6 +55,29 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"), live.alias("n_live"), owners.cast("long").alias("most_owners"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op9_secrets": op9_secrets}
-
-ORACLES: dict[str, str] = {}
+def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.link_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
+
+#: All pairs within a label, their links as counts and as components; the rest of op10's contract is arithmetic.
+OP10_SQL = """
+with recursive flat as (
+  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings
+), sound as (
+  select vec_id, label, list_transform(v, x -> x / sqrt(list_sum(list_transform(v, y -> y * y)))) as v from flat
+  where label is not null and v is not null and len(list_filter(v, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(v, x -> x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) >= 0.98
+), reach(id, node) as (
+  select vec_id, vec_id from embeddings union select reach.id, links.b from reach join links on reach.node = links.a
+), least as (select id, min(node) as component_id from reach group by id),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join least l on l.id = e.vec_id left join counts c on c.a = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op10_embedding": OP10_SQL}
