@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, license_scan, minhash, mixing, pii, secrets, toxicity
+from . import embedding, langid, license_scan, minhash, mixing, pii, secrets, substring, toxicity
 from ._store import read
 
 
@@ -45,6 +45,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.minhash_components(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
@@ -59,16 +63,16 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link_embeddings(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
 
 #: All pairs within a label, their links as counts and as components; the rest of op10's contract is arithmetic.
 OP10_SQL = """
 with recursive flat as (
-  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
 ), sound as (
-  select vec_id, label, list_transform(v, x -> x / sqrt(list_sum(list_transform(v, y -> y * y)))) as v from flat
-  where label is not null and v is not null and len(list_filter(v, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(v, x -> x <> 0)) > 0
+  select vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from flat
+  where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
   where list_dot_product(a.v, b.v) >= 0.98
@@ -80,4 +84,17 @@ select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.compo
 from embeddings e join least l on l.id = e.vec_id left join counts c on c.a = e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op10_embedding": OP10_SQL}
+#: Every window of 20 words by its words; those with an earlier place take their words away.
+OP7_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from docs where len(w) >= 20),
+windows as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as words from starts),
+later as (select doc_id, s from windows qualify row_number() over (partition by words order by doc_id, s) > 1),
+covered as (select distinct doc_id, unnest(range(s, s + 20)) as i from later),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from docs),
+kept as (select word.doc_id, count(*) as n, string_agg(x, ' ' order by i) as text from word anti join covered using (doc_id, i) group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from docs d left join kept k using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op7_substring": OP7_SQL, "op10_embedding": OP10_SQL}
