@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, langid, license_scan, minhash, mixing, pii, secrets, substring, toxicity
+from . import decontam, embedding, langid, license_scan, minhash, mixing, pii, secrets, substring, toxicity
 from ._store import read
 
 
@@ -49,6 +49,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    best = F.coalesce(F.array_max(F.transform("items", lambda x: x["similarity"])), F.lit(0.0))
+    n = F.size("items").cast("long")
+    return found.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), F.transform("items", lambda x: x["item"]).alias("item_ids"), best.alias("similarity"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
@@ -63,7 +70,7 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link_embeddings(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op7_substring": op7_substring, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
+QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op7_substring": op7_substring, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
 
 #: All pairs within a label, their links as counts and as components; the rest of op10's contract is arithmetic.
 OP10_SQL = """

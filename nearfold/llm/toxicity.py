@@ -201,6 +201,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, score double")
 
 
+def below(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score less than ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scores(model, buf, bounds) for _, _, buf, bounds in blocks(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(found) < threshold)) if found else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """score() of ``docs`` by a model of ``labelled`` documents (doc_id, text) and ``labels`` (doc_id, toxic)."""
     return score(docs, train(sample(labelled, labels)))
