@@ -31,12 +31,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (place % len(weights) + 1).cast("int"))
     s = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(most))
-    upward = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    upward = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     open_ = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(upward), F.lit(0.0))
     free = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upward), F.lit(0.0))
-    s = s.withColumn("level", open_ / free)
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    s = s.withColumn("level", open_ / free).withColumn("nth", F.row_number().over(order))
+    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("nth", "level"))).over(everything)["level"]
     return s.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     goals = _store.table(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = goals.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    ranked = _rank(base.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))))
+    ranked = _rank(base.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     left = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("open")).where("open > 0")
     for depth in (0, 1):
         left = _ranged(ranked, left, depth)
