@@ -1,6 +1,646 @@
-"""Queries over the test tables, one or more for each operator, and their SQL."""
+"""Queries over the test tables, one or more for each operator, and SQL that gives the same rows.
+
+Vectors of ``embeddings`` are nodes and features; ``part`` (by p_partkey = vec_id) gives tags (the words of p_name), the artist
+(p_brand), bpm (p_size) and onset rate (p_retailprice); ``labels`` a second, partial family of tags. Fractions are rounded to
+six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import components as C
+from ..operators import features as P
+from ..operators import graph as G
+from ..operators import leiden as M
+from ..operators import neighbors as K
+from ..operators import partition as I
+from ..operators import spectral as L
+from ..operators import structure as D
+from ..sources import tracks as S
+from .oracles import sql
+from .session import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Borders of unequal groups of 64 features.
+BORDERS = [17, 62]
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = sql(oracle)
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+
+
+def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"))
+
+
+def given(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").cast("long").alias("label"))
+
+
+def halves(spark: SparkSession, sf: str) -> DataFrame:
+    """A second partition of the nodes: 1 or 2 by the sign of the first feature."""
+    return features(spark, sf).select("node", F.when(F.get("f", F.lit(0)) < 0, 1).otherwise(2).cast("long").alias("label"))
+
+
+def near(spark: SparkSession, sf: str, k: int = K.K_MAX) -> DataFrame:
+    return cut(K.neighbors(features(spark, sf), k))
+
+
+def weighted(spark: SparkSession, sf: str, k: int = K.K_MAX) -> DataFrame:
+    found = near(spark, sf, k)
+    return K.weighted(found, K.bandwidth(found))
+
+
+def edges(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return cut(G.union_edges(weighted(spark, sf, max(k, K.BANDWIDTH_RANK)), k))
+
+
+def tags(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.split("p_name", " ").alias("tags"))
+    return nodes(spark, sf).join(part, "node", "left").select("node", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def flags(spark: SparkSession, sf: str) -> DataFrame:
+    named = F.filter(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
+    t = table(spark, sf, "labels").select(F.col("doc_id").alias("node"), named.alias("tags"))
+    return nodes(spark, sf).join(t, "node", "left").select("node", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def artists(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("artist")), "node")
+
+
+def rhythm(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("bpm"), F.col("p_retailprice").alias("onset_rate")), "node")
+
+
+def shown(df: DataFrame, places: int = 6) -> DataFrame:
+    """Fractions rounded, whole numbers long."""
+    out: list[Column] = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        out.append((F.round(c, places) + 0.0).alias(name) if kind == "double" else c.cast("long").alias(name) if kind in ("int", "smallint", "tinyint", "bigint") else c)
+    return df.select(*out)
+
+
+# --- records ---
+
+_RECORDS = """
+select named_struct(
+    'node', named_struct('track_id', concat('t', lpad(p_partkey, 6, '0')), 'artist_id', p_brand, 'genre', split(p_name, ' '), 'mood/theme', array(p_type), 'instrument', cast(array() as array<string>)) as node,
+    named_struct(
+      'lowlevel', named_struct('mfcc', named_struct(
+        'mean', transform(sequence(0, 12), i -> cast(p_size + i as double)),
+        'cov', transform(sequence(0, 12), i -> transform(sequence(0, 12), j -> case when i = j then case when i = p_size % 13 then -1e-12D else cast(i * i as double) end else 0D end)))),
+      'tonal', named_struct('hpcp', named_struct('mean', transform(sequence(0, 35), i -> cast(i as double) / 4), 'var', transform(sequence(0, 35), i -> cast(i as double)))),
+      'rhythm', named_struct('bpm', cast(p_size as double), 'onset_rate', case when p_partkey % 7 = 0 then cast('NaN' as double) else p_retailprice end)) as acoustic
+"""
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Track records made of ``part``; every seventh is bad, most have a small negative variance."""
+    expr = _RECORDS.replace("select named_struct(\n    'node', ", "").rsplit(" as acoustic", 1)[0]
+    node, acoustic = expr.split(" as node,", 1)
+    return table(spark, sf, "part").select(F.expr(node).alias("node"), F.expr(acoustic).alias("acoustic"))
+
+
+@query("tracks_json_features", "tracks_json_features")
+def _(spark, sf):
+    e = S.extract_features(S.checked_keys(records(spark, sf)))
+    long_ = e.select("track_id", "clipped", "error", F.posexplode_outer("f").alias("pos", "value"))
+    return shown(long_.groupBy("track_id").agg(F.coalesce(F.first("clipped"), F.lit(-1)).alias("clipped"), F.first("error").alias("error"), F.count("value").alias("n"), F.sum("value").alias("total"), F.max(F.when(F.col("pos") == 14, F.col("value"))).alias("std_01")))
+
+
+@query("tracks_dense_index", "tracks_dense_index")
+def _(spark, sf):
+    return S.indexed(S.checked_keys(records(spark, sf))).select(F.col("node.track_id").alias("track_id"), "node_index", F.array_join("node.genre", "|").alias("genre"))
+
+
+# --- features ---
+
+
+@query("feature_stats", "feature_stats")
+def _(spark, sf):
+    return shown(P.feature_stats(features(spark, sf)))
+
+
+@query("constant_columns", "constant_columns")
+def _(spark, sf):
+    wide = features(spark, sf).select("node", F.concat("f", F.array(F.lit(3.0), F.lit(0.0))).alias("f"))
+    return P.kept_columns(P.feature_stats(wide)).where("not kept").select(F.col("feature").cast("long").alias("feature"))
+
+
+@query("group_weights", "group_weights")
+def _(spark, sf):
+    return shown(P.group_weights(P.feature_stats(features(spark, sf)), BORDERS).select("feature", "grp", "weight"))
+
+
+@query("weighted_zscore", "weighted_zscore")
+def _(spark, sf):
+    x = features(spark, sf)
+    return shown(P.weighted_zscore(x, P.group_weights(P.feature_stats(x), BORDERS)))
+
+
+@query("distinct_vectors", "distinct_vectors")
+def _(spark, sf):
+    return P.distinct_vectors(features(spark, sf))
+
+
+@query("pca_explained_variance")
+def _(spark, sf):
+    m = P.fit(features(spark, sf), BORDERS)
+    rows = [(k + 1, float(x)) for k, x in enumerate(m.variance_ratio)]
+    return P.explained_variance(spark.createDataFrame(rows, "component int, explained_variance_ratio double"), len(m.components))
+
+
+@query("pca_project")
+def _(spark, sf):
+    x = features(spark, sf)
+    return P.fit(x, BORDERS).apply(x)
+
+
+# --- neighbours ---
+
+
+@query("knn_neighbors_k10", "knn_neighbors_k10")
+def _(spark, sf):
+    return shown(K.neighbors(features(spark, sf), 10))
+
+
+@query("knn_bandwidth", "knn_bandwidth")
+def _(spark, sf):
+    return shown(K.bandwidth(K.neighbors(features(spark, sf), 10)))
+
+
+@query("knn_gaussian_weights", "knn_gaussian_weights")
+def _(spark, sf):
+    return shown(weighted(spark, sf, 10).select("i", "j", "w"))
+
+
+@query("pair_quantiles", "pair_quantiles")
+def _(spark, sf):
+    return shown(K.quantiles(K.pairs(features(spark, sf)), "dist"))
+
+
+@query("similarity_quantiles", "similarity_quantiles")
+def _(spark, sf):
+    x = features(spark, sf)
+    return shown(K.quantiles(K.weighted(K.pairs(x), cut(K.bandwidth(K.neighbors(x, 10)))), "w"))
+
+
+# --- graphs ---
+
+
+@query("union_knn_edges_k3", "union_knn_edges_k3")
+def _(spark, sf):
+    return shown(edges(spark, sf, 3))
+
+
+@query("edge_export_k3", "edge_export_k3")
+def _(spark, sf):
+    return shown(G.export(edges(spark, sf, 3)))
+
+
+@query("edge_fingerprint_k3")
+def _(spark, sf):
+    return G.fingerprint(edges(spark, sf, 3))
+
+
+@query("edge_count_by_k", "edge_count_by_k")
+def _(spark, sf):
+    return shown(G.edge_counts(G.births(near(spark, sf)), 64))
+
+
+@query("graph_invariants", "graph_invariants")
+def _(spark, sf):
+    return G.invariants(edges(spark, sf, 3))
+
+
+@query("topology_check", "topology_check")
+def _(spark, sf):
+    w = cut(weighted(spark, sf, 10))
+    return G.topology_difference(G.binary(G.union_edges(w, 3)), w, 3)
+
+
+@query("degree_strength", "degree_strength")
+def _(spark, sf):
+    return shown(G.degrees(edges(spark, sf, 3)))
+
+
+@query("laplacian_entries", "laplacian_entries")
+def _(spark, sf):
+    return shown(G.laplacian(edges(spark, sf, 3)))
+
+
+@query("normalized_laplacian_entries", "normalized_laplacian_entries")
+def _(spark, sf):
+    return shown(G.normalized_laplacian(edges(spark, sf, 3), nodes(spark, sf)))
+
+
+@query("laplacian_nullspace_check", "laplacian_nullspace_check")
+def _(spark, sf):
+    return shown(G.nullspace_residual(edges(spark, sf, 3), nodes(spark, sf)))
+
+
+# --- connectivity ---
+
+
+@query("components_k1", "components_k1")
+def _(spark, sf):
+    return C.components(edges(spark, sf, 1), nodes(spark, sf))
+
+
+@query("components_rounds_k1", "components_k1")
+def _(spark, sf):
+    return C.components(edges(spark, sf, 1), nodes(spark, sf), one_task=0)
+
+
+@query("component_sizes", "component_sizes")
+def _(spark, sf):
+    return shown(C.summary(C.components(edges(spark, sf, 1), nodes(spark, sf))))
+
+
+@query("component_ranking", "component_ranking")
+def _(spark, sf):
+    return shown(C.ranking(C.components(edges(spark, sf, 1), nodes(spark, sf))))
+
+
+@query("component_equivalence", "component_equivalence")
+def _(spark, sf):
+    e, n = edges(spark, sf, 1), nodes(spark, sf)
+    return C.same_partition(C.components(e, n), C.components(e, n, one_task=0))
+
+
+@query("group_connectivity", "group_connectivity")
+def _(spark, sf):
+    return C.group_connectivity(edges(spark, sf, 3), given(spark, sf))
+
+
+@query("connectivity_sweep", "connectivity_sweep")
+def _(spark, sf):
+    return shown(C.sweep(G.births(near(spark, sf, 10)), nodes(spark, sf), 4))
+
+
+@query("connectivity_sweep_k64")
+def _(spark, sf):
+    return C.sweep(G.births(near(spark, sf)), nodes(spark, sf), 64)
+
+
+@query("connectivity_threshold", "connectivity_threshold")
+def _(spark, sf):
+    return shown(C.threshold(C.sweep(G.births(near(spark, sf, 10)), nodes(spark, sf), 4)))
+
+
+@query("induced_largest_component", "induced_largest_component")
+def _(spark, sf):
+    e = edges(spark, sf, 1)
+    largest = C.ranked_nodes(C.components(e, nodes(spark, sf))).where("component_rank = 1")
+    return shown(G.induced(e, largest))
+
+
+# --- structure ---
+
+
+def metrics(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return D.node_metrics(edges(spark, sf, k), nodes(spark, sf))
+
+
+@query("triangles_per_node", "triangles_per_node")
+def _(spark, sf):
+    return metrics(spark, sf).select("node", "triangles")
+
+
+@query("clustering_coefficients", "clustering_coefficients")
+def _(spark, sf):
+    return shown(metrics(spark, sf).select("node", "clustering", D.fraction_text(F.col("num"), F.col("den")).alias("exact_fraction")))
+
+
+@query("clustering_exact_pmf", "clustering_exact_pmf")
+def _(spark, sf):
+    return shown(D.clustering_pmf(metrics(spark, sf)))
+
+
+@query("clustering_histogram", "clustering_histogram")
+def _(spark, sf):
+    return shown(D.clustering_histogram(metrics(spark, sf)))
+
+
+@query("degree_pmf_dense", "degree_pmf_dense")
+def _(spark, sf):
+    return shown(D.degree_pmf(metrics(spark, sf, 3)))
+
+
+@query("degree_distribution", "degree_distribution")
+def _(spark, sf):
+    return shown(D.degree_distribution(metrics(spark, sf, 3)))
+
+
+@query("degree_summary", "degree_summary")
+def _(spark, sf):
+    return shown(D.summary(metrics(spark, sf)))
+
+
+@query("transitivity", "transitivity")
+def _(spark, sf):
+    return shown(D.summary(metrics(spark, sf)).select("triangle_count", "transitivity"))
+
+
+@query("structure_checks", "structure_checks")
+def _(spark, sf):
+    e = edges(spark, sf, 10)
+    return D.checks(D.node_metrics(e, nodes(spark, sf)), e)
+
+
+@query("node_metrics", "node_metrics")
+def _(spark, sf):
+    return shown(metrics(spark, sf).select("node", "degree", "strength", "triangles", "clustering"))
+
+
+@query("copurchase_components", "copurchase_components")
+def _(spark, sf):
+    """Parts and suppliers joined by orders of more than 49: a larger graph of other data."""
+    line = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 10_000_000).alias("v")).distinct()
+    ends = line.select(F.col("u").alias("node")).union(line.select("v")).distinct()
+    return shown(C.summary(C.components(line, ends)))
+
+
+# --- partitions ---
+
+
+@query("domain_feature_means", "domain_feature_means")
+def _(spark, sf):
+    return shown(I.feature_means(features(spark, sf), given(spark, sf)).select("label", "feature", "raw_mean", "raw_std"))
+
+
+@query("domain_zscores", "domain_zscores")
+def _(spark, sf):
+    return shown(I.feature_means(features(spark, sf), given(spark, sf)).select("label", "feature", "zscore_mean"))
+
+
+@query("eta_squared", "eta_squared")
+def _(spark, sf):
+    return shown(I.eta_squared(features(spark, sf), given(spark, sf)))
+
+
+@query("eta_squared_top10", "eta_squared_top10")
+def _(spark, sf):
+    return shown(I.ranked(I.eta_squared(features(spark, sf), given(spark, sf))))
+
+
+@query("tag_prevalence", "tag_prevalence")
+def _(spark, sf):
+    return shown(I.tag_prevalence(tags(spark, sf), given(spark, sf)).drop("whole_hits"))
+
+
+@query("tag_differences_topk", "tag_differences_topk")
+def _(spark, sf):
+    return shown(I.largest_differences(I.tag_prevalence(tags(spark, sf), given(spark, sf))).select("label", "tag", "difference"))
+
+
+@query("tag_enrichment_lift", "tag_enrichment_lift")
+def _(spark, sf):
+    return shown(I.tag_enrichment(flags(spark, sf), given(spark, sf)))
+
+
+@query("display_tags", "display_tags")
+def _(spark, sf):
+    return shown(I.display_tags(I.tag_universe(tags(spark, sf), given(spark, sf))))
+
+
+@query("artist_concentration", "artist_concentration")
+def _(spark, sf):
+    top = F.array_join(F.transform("top", lambda s: F.concat_ws(":", s["artist"], s["count"])), ",")
+    return shown(I.artist_concentration(artists(spark, sf), given(spark, sf)).withColumn("top", top))
+
+
+@query("rhythm_summary", "rhythm_summary")
+def _(spark, sf):
+    return shown(I.rhythm_summary(rhythm(spark, sf), given(spark, sf)))
+
+
+@query("tag_state", "tag_state")
+def _(spark, sf):
+    return flags(spark, sf).select("node", I.tag_state(F.col("tags"), "toxic").cast("long").alias("state"))
+
+
+@query("tag_one_hot", "tag_one_hot")
+def _(spark, sf):
+    return I.one_hot(flags(spark, sf), ["quality", "toxic"])
+
+
+@query("label_coverage", "label_coverage")
+def _(spark, sf):
+    return I.label_coverage(flags(spark, sf))
+
+
+@query("distinct_artists", "distinct_artists")
+def _(spark, sf):
+    return artists(spark, sf).agg(F.count_distinct("artist").alias("artists"))
+
+
+@query("normalized_cut", "normalized_cut")
+def _(spark, sf):
+    return shown(L.cut_metrics(edges(spark, sf, 3), halves(spark, sf).withColumnRenamed("label", "domain")))
+
+
+@query("modularity", "modularity")
+def _(spark, sf):
+    return shown(I.modularity(I.community_table(edges(spark, sf, 3), given(spark, sf))))
+
+
+@query("community_table", "community_table")
+def _(spark, sf):
+    return shown(I.community_table(edges(spark, sf, 3), given(spark, sf)))
+
+
+@query("community_volume_check", "community_volume_check")
+def _(spark, sf):
+    return shown(I.volume_check(edges(spark, sf, 3), given(spark, sf)))
+
+
+@query("community_ids", "community_ids")
+def _(spark, sf):
+    return shown(I.canonical(given(spark, sf)))
+
+
+@query("community_overlap", "community_overlap")
+def _(spark, sf):
+    return shown(I.overlap(given(spark, sf), halves(spark, sf)))
+
+
+@query("edge_label_agreement", "edge_label_agreement")
+def _(spark, sf):
+    return shown(I.label_agreement(edges(spark, sf, 3), given(spark, sf), tags(spark, sf)))
+
+
+@query("cross_community_fractions", "cross_community_fractions")
+def _(spark, sf):
+    return shown(I.cross_fractions(edges(spark, sf, 3), given(spark, sf)))
+
+
+@query("community_sizes", "community_sizes")
+def _(spark, sf):
+    return shown(I.size_summary(given(spark, sf)).withColumn("largest", F.array_join(F.transform("largest", lambda x: x.cast("string")), ",")))
+
+
+@query("adjusted_rand", "adjusted_rand")
+def _(spark, sf):
+    return shown(I.adjusted_rand(I.contingency(given(spark, sf), halves(spark, sf))))
+
+
+@query("nmi", "nmi")
+def _(spark, sf):
+    return shown(I.nmi(I.contingency(given(spark, sf), halves(spark, sf))))
+
+
+@query("partition_agreement", "partition_agreement")
+def _(spark, sf):
+    value = rhythm(spark, sf).select("node", F.col("onset_rate").alias("value"))
+    other = given(spark, sf).select("node", (F.col("label") % 2 + 1).alias("label"))
+    return shown(I.agreement(I.low_high(halves(spark, sf), value), I.low_high(other, value)))
+
+
+@query("node_assignment", "node_assignment")
+def _(spark, sf):
+    n = artists(spark, sf).join(tags(spark, sf), "node").select("node", F.concat(F.lit("t"), F.col("node")).alias("track_id"), F.col("artist").alias("artist_id"), "tags")
+    return shown(I.node_assignment(n, I.canonical(given(spark, sf)), halves(spark, sf).withColumnRenamed("label", "domain")))
+
+
+# --- spectra and communities, whose proof is in their own columns ---
+
+
+def solved(spark: SparkSession, sf: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    e = edges(spark, sf, k)
+    largest = C.ranked_nodes(C.components(e, nodes(spark, sf))).where("component_rank = 1")
+    e = cut(G.induced(e, largest).withColumn("graph", F.lit(k)))
+    return e, cut(L.spectrum(e))
+
+
+@query("low_spectrum")
+def _(spark, sf):
+    return L.eigenvalues(solved(spark, sf)[1])
+
+
+@query("fiedler_values")
+def _(spark, sf):
+    return L.eigenvalues(solved(spark, sf)[1]).where("idx = 2")
+
+
+@query("spectral_sanity")
+def _(spark, sf):
+    e, s = solved(spark, sf)
+    return L.sanity(s, e).join(L.subspace_residual(s), "graph")
+
+
+@query("lanczos_fiedler")
+def _(spark, sf):
+    e, _ = solved(spark, sf)
+    return L.lanczos(e, steps=12)
+
+
+@query("spectral_embedding")
+def _(spark, sf):
+    return L.embedding(solved(spark, sf)[1])
+
+
+@query("nodal_domains")
+def _(spark, sf):
+    e, s = solved(spark, sf)
+    return L.nodal_domains(e, s.select("node", F.get("q", F.lit(1)).alias("q")))
+
+
+@query("nodal_domains_by_size")
+def _(spark, sf):
+    e, s = solved(spark, sf)
+    return L.nodal_domains(e, s.select("node", F.get("q", F.lit(1)).alias("q")), 1e-8, signs_first=False)
+
+
+@query("eigen_gaps")
+def _(spark, sf):
+    return L.gaps(L.eigenvalues(solved(spark, sf)[1]))
+
+
+@query("eigen_gap_selection")
+def _(spark, sf):
+    e = L.eigenvalues(solved(spark, sf)[1])
+    most = e.agg(F.max("residual")).first()[0]
+    return L.select_qualified(L.qualified(L.gaps(e, 1e-6), float(most))).join(L.select_most_isolated(L.gaps(e)).withColumnRenamed("selected", "most_isolated"), "graph")
+
+
+@query("fiedler_sweep")
+def _(spark, sf):
+    w = cut(weighted(spark, sf))
+    b = G.births(w).join(G.union_edges(w, 64).select("u", "v", "w"), ["u", "v"])
+    return L.fiedler_sweep(b, nodes(spark, sf), 2, 64)
+
+
+@query("fiedler_decreases")
+def _(spark, sf):
+    return L.decreases(QUERIES["fiedler_sweep"](spark, sf))
+
+
+def found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    w = cut(weighted(spark, sf))
+    e = cut(G.union_edges(w, 3).withColumn("graph", F.lit(3)).unionByName(G.union_edges(w, 64).withColumn("graph", F.lit(64))))
+    return e, cut(M.communities(e))
+
+
+@query("leiden_restarts")
+def _(spark, sf):
+    return M.restarts(found(spark, sf)[1])
+
+
+@query("leiden_communities")
+def _(spark, sf):
+    _, m = found(spark, sf)
+    best = m.join(F.broadcast(M.best(M.restarts(m))), ["graph", "seed"], "left_semi")  # a row per graph
+    one = [I.canonical(best.where(F.col("graph") == g)).withColumn("graph", F.lit(g)) for g in (3, 64)]
+    return one[0].unionByName(one[1])
+
+
+@query("restart_stability")
+def _(spark, sf):
+    _, m = found(spark, sf)
+    return I.stability(m.where("graph = 3").select(F.col("seed").alias("run"), "node", "label"))
+
+
+@query("cross_k_comparison")
+def _(spark, sf):
+    _, m = found(spark, sf)
+    a, b = (m.where((F.col("graph") == g) & (F.col("seed") == 521)).select("node", "label") for g in (3, 64))
+    t = I.contingency(a, b)
+    return I.adjusted_rand(t).crossJoin(I.nmi(t))
+
+
+@query("comparison_by_k")
+def _(spark, sf):
+    """A row for each k: structure, spectrum and cut of the largest component."""
+    rows = []
+    for k in (2, 3):
+        e, s = solved(spark, sf, k)
+        one = D.summary(D.node_metrics(e, e.select(F.col("u").alias("node")).union(e.select("v")).distinct())).select("nodes", "edges", "degree_mean", "clustering_mean", "triangle_count", "transitivity")
+        value = L.eigenvalues(s).where("idx = 2").select(F.col("value").alias("lambda2"))
+        domains = L.nodal_domains(e, s.select("node", F.get("q", F.lit(1)).alias("q")), 1e-8, signs_first=False)
+        rows.append(one.crossJoin(value).crossJoin(L.cut_metrics(e, domains)).withColumn("k", F.lit(k)))
+    return rows[0].unionByName(rows[1])
+
+
