@@ -174,7 +174,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranked = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
     phrases = _store.table(ranked.mapInArrow(_phrases(window, phrase), "key long, doc_id long"), "phrases")
-    recurring = phrases.groupBy("key").agg(F.count("doc_id").alias("n")).where("n > 1").select("key")
+    # sums are written before they are joined: a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
+    recurring = _store.table(phrases.groupBy("key").agg(F.count("doc_id").alias("n")).where("n > 1").select("key"), "recurring")
     held = phrases.join(recurring, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     held = _store.table(held, "held")
     sieve = _sieve(held)
@@ -184,14 +185,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     found = _store.table(found, "stretches")
 
     place = F.struct("doc_id", "at")
-    firsts = found.groupBy("stretch").agg(F.min(place).alias("first"))
+    firsts = _store.table(found.groupBy("stretch").agg(F.min(place).alias("first")), "firsts")
     judged = _store.table(found.select("doc_id", "at", "stretch", F.size("windows").alias("n")).join(firsts, "stretch").select("stretch", "doc_id", "at", "n", (place != F.col("first")).alias("later")), "judged")
     whole = judged.where("later").select("doc_id", "at", F.col("n").cast("long").alias("n"))
     # a window's first place lies in a stretch that is the first of its kind
     various = found.groupBy("key").agg(F.min("stretch").alias("x"), F.max("stretch").alias("y")).where("x < y").select("key")
     heads = found.join(various, "key", "left_semi").join(judged.where("not later").select("stretch", "doc_id", "at").distinct(), ["stretch", "doc_id", "at"], "left_semi")
     single = _store.table(heads.select("doc_id", "at", F.posexplode("windows").alias("nth", "hash")).select("doc_id", (F.col("at") + F.col("nth")).alias("at"), "hash"), "windows")
-    earliest = single.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first")
+    earliest = _store.table(single.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first"), "earliest")
     alone = single.join(earliest, "hash").where(place != F.col("first")).select("doc_id", "at", F.lit(1).cast("long").alias("n"))
     ranges = whole.union(alone).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
 
