@@ -151,7 +151,7 @@ def _clustered(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all components within each cluster ``labels`` (id, label) of ``sets`` (doc_id, shingles)."""
     placed = sets.join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "shingles", F.col("label").alias("cluster"))
     blocks_ = F.ceil(F.greatest(F.count("doc_id") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
-    count = placed.groupBy("cluster").agg(blocks_.alias("n"))
+    count = _store.table(placed.groupBy("cluster").agg(blocks_.alias("n")), "blocks")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))
     dealt = placed.join(count, "cluster").withColumn("mine", mine).select("doc_id", "shingles", "cluster", F.explode(meet).alias("m")).select("doc_id", "shingles", "cluster", "m.x", "m.y")
@@ -180,6 +180,7 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows:
     held = signed.where("n_shingles > 0").join(same, ["low", "high", "n_shingles"]).select("doc_id", "rep")
     banded = signed.select("doc_id", "bands").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
+    shared = _store.table(shared, "shared")  # a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
     members = _store.table(banded.join(shared, "key").distinct(), "buckets")
     star = _store.table(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     wanted = members.select("doc_id").distinct()
