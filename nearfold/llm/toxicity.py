@@ -21,6 +21,8 @@ from ._words import LOWER, NOT_ALNUM, _hash, blocks, words
 
 #: Labelled rows that are learned from at most, and terms of the lexicon.
 SAMPLE_ROWS, TERMS = 12_000, 1_024
+#: Toxic rows among them below which only the fixed words count.
+LEAST_TOXIC = 5
 #: Words are counted in 2**BITS cells, their beginnings of PREFIX bytes in as many more.
 BITS, PREFIX = 20, 6
 THRESHOLD = 0.3
@@ -146,7 +148,7 @@ def train(table: pa.Table, terms: int = TERMS) -> Model:
     chosen = lexicon(y, owner, cell, terms)
     place = np.full(2 ** (BITS + 1), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    if not 0 < y.sum() < len(y):  # nothing to learn from: the fixed words alone
+    if not LEAST_TOXIC <= y.sum() < len(y):  # too little to learn from: the fixed words alone
         return Model(place, np.concatenate([np.full(len(chosen), 1.5), np.zeros(EXTRA)]), -3.0)
     x = np.zeros((len(y), len(chosen)), np.float32)
     hit = place[cell] >= 0

@@ -81,6 +81,7 @@ def test_language_gradient():
 
 def test_language_awkward_rows(spark, tmp_path):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !!", "de"), (4, "the cat and the dog", "en"), (5, "der hund und die katze", "de"), (5, "der hund und die katze", "de"), (None, "the one", None), (6, "é", "de")]
+    rows += [(k, t, g) for k in range(10, 30) for t, g in [("the dog and a cat", "en") if k % 2 else ("die katze und ein hund", "de")]]
     folder = saved(spark, tmp_path, documents=docs(spark, rows))
     got = [(r.doc_id, r.lang_pred, r.score) for r in queries.op5_language(spark, folder).collect()]
     assert len(got) == len(rows) and all((p == "und") == (i in (1, 2, 3)) for i, p, _ in got) and {p for _, p, _ in got} <= {"und", "en", "de"}
