@@ -6,8 +6,8 @@ value of a second permutation, circularly shifted by k. Two permutations so give
 1. Documents with the same shingle set form a class; its smallest id stands for it.
 2. ``BANDS`` bands of ``ROWS`` coordinates. A pair at the threshold shares a band but with probability
    (1 - 0.8**5)**42 < 1e-7.
-3. In each bucket, every class is held against the bucket's smallest id: as many pairs as members. Confirmed on the full
-   sets, these links are joined to components. A bucket of one component is done: a further link changes nothing.
+3. Every class is held against one other: of the smallest ids of its buckets, the one that it meets in most. Confirmed on the
+   full sets, these links are joined to components. A bucket of one component is done: a further link changes nothing.
 4. Members of the other buckets get sharper bands (``SHARP_BANDS`` of ``SHARP_ROWS``), which again hold every pair at the
    threshold together but with probability (1 - 0.8**10)**130 < 1e-6, and hardly ever pairs below one half. What they
    hold together is a cluster; its sets are intersected exactly, block against block, and only links that join something
@@ -182,7 +182,9 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows:
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
     shared = _store.table(shared, "shared")  # a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
     members = _store.table(banded.join(shared, "key").distinct(), "buckets")
-    star = _store.table(members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    meets = members.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = meets.groupBy("doc_id").agg(F.max_by("pivot", F.struct(F.col("n"), -F.col("pivot"))).alias("a"))
+    star = _store.table(best.select("a", F.col("doc_id").alias("b")), "pairs")
     wanted = members.select("doc_id").distinct()
     sets = _store.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
     links = _store.table(_confirm(star, sets, percent), "confirmed")
