@@ -60,11 +60,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
     ``size``: words of the text, 0 if null. ``taken``: size times copies. Null is a source of its own, the last; a source
     without words takes nothing. Copies never exceed ``most`` rounded down, or up where the rate has a rest. The order
-    follows from doc_id, source and text, so every run gives the same rows; of rows that are equal in all three, any may be
-    the one that is taken. An empty table gives an empty result.
+    follows from doc_id alone, so every run gives the same rows; of rows equal in doc_id, source and size, any may be the one
+    that is taken. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    hashed = F.xxhash64(F.col(id_col), F.col("source"), F.col("text"), F.lit(seed))
+    number = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    hashed = F.conv(F.substring(F.md5(number), 1, 13), 16, 10).cast("long")  # 52 bits
     base = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hashed.alias("hash"))
     base = _store.table(base, "sizes")
     goals = _store.table(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
@@ -78,8 +79,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     part = F.shiftrightunsigned("order", 63 - 2 * LEVEL)
     at = ranked.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").withColumn("part", part)
     # one range of 2**-24 of a source: its documents in order until the rest is used up, the last by the nearer end
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = at.where("part = prefix").withColumn("more", (F.col("open") - before) >= F.col("size") / 2)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = at.where("part = prefix").withColumn("more", (F.col("open") - before > 0) & (F.col("open") - before >= F.col("size") / 2))
     rest = at.where("prefix is null or part <> prefix").withColumn("more", F.coalesce(F.col("part") < F.col("prefix"), F.lit(False)))
     both = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("more").cast("long"))
     return both.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -87,6 +88,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 
 def _rank(joined: DataFrame) -> DataFrame:
     """Adds ``order``: the Pareto rank as a number of 63 bits, smallest first."""
-    u = (F.shiftrightunsigned("hash", 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.col("hash").cast("double") + 0.5) / float(1 << 52)
     q = (u / (1 - u)) / F.greatest(F.col("p") / (1 - F.col("p")), F.lit(1e-12))
     return joined.withColumn("order", F.floor(F.least(q / (1 + q), F.lit(1 - 2.0**-53)) * float(1 << 53)).cast("long") * 1024)

@@ -32,7 +32,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,46 @@ select e.vec_id, coalesce(c.n, 0) as n_links, l.component_id, e.vec_id = l.compo
 from embeddings e join least l on l.id = e.vec_id left join counts c on c.a = e.vec_id
 """
 
+#: All pairs that share a shingle, by their counts; components by reaching.
+OP6_SQL = r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), starts as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as s from docs where len(w) > 0),
+shingle as (select distinct doc_id, array_to_string(w[s:s + 3], ' ') as x from starts),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingle a join shingle b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join size x on x.doc_id = a join size y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+sides as (select a, b from links union all select b, a from links),
+reach(id, node) as (select doc_id, doc_id from docs union select reach.id, sides.b from reach join sides on reach.node = sides.a),
+least as (select id, min(node) as component_id from reach group by id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from docs d join least l on l.id = d.doc_id left join size using (doc_id)
+"""
+
+#: Whole copies, then documents in the order of a hash (the Pareto order of a source whose documents are all as likely) as
+#: long as half of the document fits the source's rest.
+OP4_SQL = r"""
+with docs as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    cast('0x' || substr(md5('17|' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as u from documents
+), sources as (select source, cast(sum(size) as bigint) as source_size from docs group by source),
+weighed as (select *, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, source_size * 3.0::double as cap from sources),
+levels as (
+  select *, (sum(source_size) over () - coalesce(sum(cap) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level,
+    row_number() over (order by cap / weight, source nulls last) as nth from weighed
+  window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), water as (select level from levels where level * weight <= cap order by nth limit 1),
+goals as (select source, source_size, least(cap, coalesce((select level from water), 0) * weight) as target from levels),
+rates as (select *, case when source_size > 0 then target / source_size else 0 end as rate from goals),
+ranked as (
+  select d.doc_id, d.size, r.source_size, r.target, cast(floor(rate + 1e-12) as bigint) as whole,
+    target - floor(rate + 1e-12) * source_size as open, coalesce(sum(d.size) over (partition by d.source order by u, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+  from docs d join rates r on r.source is not distinct from d.source
+)
+select doc_id, size, source_size, round(target, 6) as target, size * (whole + case when open > 0 and open - before > 0 and open - before >= size / 2 then 1 else 0 end) as taken,
+  whole + case when open > 0 and open - before > 0 and open - before >= size / 2 then 1 else 0 end as copies from ranked
+"""
+
 #: Every window of 20 words by its words; those with an earlier place take their words away.
 OP7_SQL = r"""
 with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -104,4 +144,4 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(k
 from docs d left join kept k using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_substring": OP7_SQL, "op10_embedding": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_minhash": OP6_SQL, "op7_substring": OP7_SQL, "op10_embedding": OP10_SQL}
