@@ -133,7 +133,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame,
     label = dict(classes.dtypes)["label"]
     coded = classes.select("label", "id", "v").mapInArrow(code, f"label {label}, id long, keys array<long>")
     spread = coded.select("label", "id", F.posexplode("keys").alias("t", "key"))
-    size = spread.groupBy("label", "t", "key").agg(F.count("id").alias("size")).where("size > 1")
+    size = _store.table(spread.groupBy("label", "t", "key").agg(F.count("id").alias("size")).where("size > 1"), "buckets")
     spread = spread.join(size.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), ["label", "t", "key"])
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))

@@ -87,7 +87,7 @@ def find_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     each = scanned.where(F.size("found") > 0).select("row", "doc_id", F.coalesce("owner", F.lit("\0")).alias("owner"), F.explode("found").alias("c"))
     # distinct holders first, so that a value that a third of the corpus holds is one row per task and holder
     holders = each.groupBy(F.col("c.value").alias("value"), "owner").agg(F.count_distinct("doc_id").alias("n"))
-    spread = holders.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("n").alias("documents"))
+    spread = _store.table(holders.groupBy("value").agg(F.count("owner").alias("owners"), F.sum("n").alias("documents")), "holders")
     live = F.col("c.random") & (F.col("owners") <= MOST_OWNERS)
     span = F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), F.col("c.end").alias("end"), live.alias("live"), "owners", "documents")
     added = [k for k, kind in enumerate(KINDS) if not kind[5]]
