@@ -40,7 +40,8 @@ def _dealt(features: DataFrame, n: int) -> DataFrame:
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     node = table.column("node").to_numpy()
-    f = np.array(table.column("f").to_pylist(), float)
+    flat = table.column("f").combine_chunks()
+    f = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(node), -1)
     asks = table.column("asks").to_numpy().astype(bool)
     order = np.argsort(node, kind="stable")
     node, f, asks = node[order], f[order], asks[order]
