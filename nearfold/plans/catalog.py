@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import components as C
@@ -220,7 +220,7 @@ def _(spark, sf):
     return shown(G.export(edges(spark, sf, 3)))
 
 
-@query("edge_fingerprint_k3")
+@query("edge_fingerprint_k3", "edge_fingerprint_k3")
 def _(spark, sf):
     return G.fingerprint(edges(spark, sf, 3))
 
@@ -525,6 +525,67 @@ def _(spark, sf):
     return shown(I.node_assignment(n, I.canonical(given(spark, sf)), halves(spark, sf).withColumnRenamed("label", "domain")))
 
 
+# --- what follows from given spectra, curves and vectors ---
+
+
+def given_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Rising numbers in place of eigenvalues: running sums of the balances of each nation's first nine customers."""
+    first = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    c = table(spark, sf, "customer").withColumn("idx", F.row_number().over(first)).where("idx <= 9")
+    total = F.sum(F.floor(F.abs("c_acctbal")) / 16384).over(first.rowsBetween(Window.unboundedPreceding, 0))
+    return c.select(F.col("c_nationkey").alias("graph"), "idx", total.alias("value"))
+
+
+@query("eigen_gaps_given", "eigen_gaps_given")
+def _(spark, sf):
+    return shown(L.gaps(given_values(spark, sf)))
+
+
+@query("gap_selection_given", "gap_selection_given")
+def _(spark, sf):
+    g = L.gaps(given_values(spark, sf), 1e-6)
+    return shown(L.select_qualified(L.qualified(g, 1e-10)).join(L.select_most_isolated(g).withColumnRenamed("selected", "most_isolated"), "graph"))
+
+
+@query("fiedler_decreases_given", "fiedler_decreases_given")
+def _(spark, sf):
+    curve = table(spark, sf, "orders").where("o_orderkey < 64").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("components"), (F.floor("o_totalprice") / 1024).alias("lambda2"))
+    return shown(L.decreases(curve))
+
+
+@query("nodal_domains_given", "nodal_domains_given")
+def _(spark, sf):
+    q = features(spark, sf).select("node", F.get("f", F.lit(0)).alias("q"))
+    return shown(L.nodal_domains(edges(spark, sf, 3), q))
+
+
+@query("nodal_domains_by_size_given", "nodal_domains_by_size_given")
+def _(spark, sf):
+    near_zero = F.get("f", F.lit(0))
+    q = features(spark, sf).select("node", F.when(F.col("node") % 50 == 0, 0.0).otherwise(near_zero).alias("q"))
+    return shown(L.nodal_domains(edges(spark, sf, 3), q, 1e-8, signs_first=False))
+
+
+@query("best_restart_given", "best_restart_given")
+def _(spark, sf):
+    r = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("graph"), F.col("s_suppkey").alias("seed"), F.floor(F.col("s_acctbal") / 1000).cast("double").alias("weighted_modularity"))
+    return shown(M.best(r))
+
+
+@query("stability_given", "stability_given")
+def _(spark, sf):
+    runs = given(spark, sf).withColumn("run", F.lit(1)).unionByName(halves(spark, sf).withColumn("run", F.lit(2)))
+    runs = runs.unionByName(given(spark, sf).select("node", (F.col("label") % 3).alias("label"), F.lit(3).alias("run")))
+    return shown(I.stability(runs))
+
+
+@query("variance_given", "variance_given")
+def _(spark, sf):
+    total = F.sum("s_acctbal").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = table(spark, sf, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") + 1).alias("component"), (F.col("s_acctbal") / total).alias("explained_variance_ratio"))
+    return shown(P.explained_variance(r, 32))
+
+
 # --- spectra and communities, whose proof is in their own columns ---
 
 
@@ -598,6 +659,15 @@ def _(spark, sf):
     return L.decreases(QUERIES["fiedler_sweep"](spark, sf))
 
 
+@query("fiedler_cross_check")
+def _(spark, sf):
+    """The second eigenvalue at k = 3 by the sweep and by the whole solution."""
+    one = L.eigenvalues(solved(spark, sf)[1]).where("idx = 2").select(F.lit(3).alias("k"), F.col("value").alias("lambda2"))
+    w = cut(weighted(spark, sf, 10))
+    b = G.births(w).join(G.union_edges(w, 10).select("u", "v", "w"), ["u", "v"])
+    return I.largest_difference(one, L.fiedler_sweep(b, nodes(spark, sf), 3, 3), "k", "lambda2")
+
+
 def found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     w = cut(weighted(spark, sf))
     e = cut(G.union_edges(w, 3).withColumn("graph", F.lit(3)).unionByName(G.union_edges(w, 64).withColumn("graph", F.lit(64))))

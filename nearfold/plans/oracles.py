@@ -48,6 +48,9 @@ COMMON: dict[str, str] = {
             from (select lu as label, lu, lv, w from ends3 union all select lv, lu, lv, w from ends3 where lu <> lv) group by label) x on x.label = g.label
         group by g.label""",
     "cont": "select g.label as a, h.label as b, count(*) as n from given g join halves h using (node) group by 1, 2",
+    "val_g": """select c_nationkey as graph, row_number() over w as idx, sum(floor(abs(c_acctbal)) / 16384) over (w rows between unbounded preceding and current row) as value
+        from customer window w as (partition by c_nationkey order by c_custkey)""",
+    "gap_g": """select cast(graph as bigint) as graph, idx, value, value - lag(value) over w as l, lead(value) over w - value as r from val_g where idx <= 9 window w as (partition by graph order by idx)""",
     "ptag": "select g.label, unnest(list_distinct(t.tags)) as tag from given g join tags t using (node)",
     "ftag": "select g.label, unnest(list_distinct(t.tags)) as tag from given g join flags t using (node)",
 }
@@ -175,6 +178,32 @@ SQL: dict[str, str] = {
         c as (select a, b, count(*) as n from x group by 1, 2), p as (select sum(n * (n - 1) / 2) as x, sum(n) as n from c), pa as (select sum(s * (s - 1) / 2) as pa from (select sum(n) as s from c group by a)), pb as (select sum(s * (s - 1) / 2) as pb from (select sum(n) as s from c group by b))
         select count(*) as common_nodes, round(avg(cast(a = b as int)), 6) as low_high_agreement, count(*) filter (a and b) as both_low, count(*) filter (a and not b) as a_low_b_high, count(*) filter (not a and b) as a_high_b_low, count(*) filter (not a and not b) as both_high,
         (select round((x - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) + 0.0 from p, pa, pb) as adjusted_rand from x""",
+    "edge_fingerprint_k3": """with h as (select sha256(u || '-' || v) as h from e3)
+        select count(*) as edges, sha256(concat_ws('-', cast(sum(cast('0x' || substr(h, 1, 12) as bigint)) as varchar), cast(sum(cast('0x' || substr(h, 13, 12) as bigint)) as varchar),
+            cast(sum(cast('0x' || substr(h, 25, 12) as bigint)) as varchar), cast(sum(cast('0x' || substr(h, 37, 12) as bigint)) as varchar))) as sha256 from h""",
+    "eigen_gaps_given": """select graph, idx, round(value, 6) as value, round(l, 6) as left_gap, round(r, 6) as right_gap, round(least(l, r), 6) as isolation, round(least(l, r) / value, 6) as relative from gap_g where l is not null and r is not null""",
+    "gap_selection_given": """with c as (select graph, idx, value, least(l, r) as i, least(value, l, r) > 1e-8 and least(l, r) >= 1e-3 and least(l, r) / greatest(abs(value), 1e-6) >= 0.05 as good from gap_g where l is not null and r is not null),
+        s as (select graph, bool_or(idx = 2 and good) as second, arg_max(idx, i) filter (good) as other, arg_max(idx, i) as most from c group by graph)
+        select graph, cast(case when second then 2 else other end as bigint) as selected, case when second then 'second' when other is not null then 'later' else 'none' end as status, most as most_isolated from s""",
+    "fiedler_decreases_given": """with c as (select o_orderkey as k, floor(o_totalprice) / 1024 as x from orders where o_orderkey < 64 and o_custkey % 5 <> 0), d as (select k, lead(k) over (order by k) as next_k, lead(x) over (order by k) - x as change from c)
+        select k, next_k, round(change, 6) as change from d where change < -1e-10""",
+    "nodal_domains_given": """with recursive q as (select node, case when f[1] < 0 then -1 else 1 end as s from feat), a as (select src, dst from adj3 join q x on x.node = src join q y on y.node = dst where x.s = y.s),
+        walk(node, far) as (select node, node from q union select w.node, a.dst from walk w join a on a.src = w.far), l as (select node, min(far) as label from walk group by 1),
+        g as (select label, s, count(*) as n from l join q using (node) group by 1, 2), o as (select label, row_number() over (order by s, n desc, label) as domain from g)
+        select node, cast(s as bigint) as sign, domain from l join q using (node) join o using (label)""",
+    "nodal_domains_by_size_given": """with recursive q as (select node, case when node % 50 = 0 then 0 when f[1] < 0 then -1 else 1 end as s from feat), a as (select src, dst from adj3 join q x on x.node = src join q y on y.node = dst where x.s = y.s and x.s <> 0),
+        walk(node, far) as (select node, node from q where s <> 0 union select w.node, a.dst from walk w join a on a.src = w.far), l as (select node, min(far) as label from walk group by 1),
+        g as (select label, count(*) as n from l group by 1), o as (select label, row_number() over (order by n desc, label) as domain from g)
+        select node, cast(s as bigint) as sign, domain from l join q using (node) join o using (label) union all select node, cast(0 as bigint), cast(-1 as bigint) from q where s = 0""",
+    "best_restart_given": "select cast(s_nationkey as bigint) as graph, s_suppkey as seed from supplier qualify row_number() over (partition by s_nationkey order by floor(s_acctbal / 1000) desc, s_suppkey) = 1",
+    "stability_given": """with m as (select 1 as run, node, label from given union all select 2, node, label from halves union all select 3, node, label % 3 from given),
+        t as (select x.run as p, y.run as q, x.label as a, y.label as b, count(*) as n from m x join m y on x.node = y.node and x.run < y.run group by all),
+        c as (select p, q, sum(n * (n - 1) / 2) as x, sum(n) as n from t group by 1, 2), ra as (select p, q, sum(s * (s - 1) / 2) as pa from (select p, q, a, sum(n) as s from t group by 1, 2, 3) group by 1, 2),
+        rb as (select p, q, sum(s * (s - 1) / 2) as pb from (select p, q, b, sum(n) as s from t group by 1, 2, 3) group by 1, 2),
+        v as (select (x - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)) as v from c join ra using (p, q) join rb using (p, q))
+        select count(*) as pairs, round(min(v), 6) + 0.0 as ari_min, round(median(v), 6) + 0.0 as ari_median from v""",
+    "variance_given": """with r as (select s_suppkey + 1 as component, s_acctbal / sum(s_acctbal) over () as x from supplier where s_acctbal > 0)
+        select component, round(x, 6) as explained_variance_ratio, round(sum(x) over (order by component), 6) as cumulative_explained_variance, component <= 32 as retained from r""",
     "node_assignment": """with g as (select label, row_number() over (order by count(*) desc, min(node)) as community from given group by label)
         select n.node, 't' || n.node as track_id, a.artist as artist_id, community, h.label as domain, array_to_string(t.tags, '|') as tags from given n join g using (label) join artists a using (node) join halves h using (node) join tags t using (node)""",
 }
