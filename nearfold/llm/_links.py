@@ -11,16 +11,25 @@ from . import _store
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every id in ``edges`` (a, b long): label is the smallest id that links reach.
 
-    Smallest label of the neighbours, then the label's own label (pointer jumping), written to the shared folder each
-    round, until no label falls. Sums before it shuffles, so a hub of many links is one row per task.
+    Each round maps an id to its smallest neighbour, or that one's, and replaces links by links between what their ends map
+    to, until none is left: links fall away fast, and the smallest id of a component always maps to itself. Every round is
+    written to the shared folder; minima are summed before they are shuffled, so a hub is one row per task.
     """
-    both = _store.table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = _store.table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    left = _store.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        fresh = labels.withColumnRenamed("label", "was").join(near, "id").select("id", "was", F.least("was", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        after = _store.table(fresh.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = after.select("id", "label")
-        if not after.where("label < was").limit(1).count():
-            return labels
+        both = left.select(F.col("a").alias("id"), "b").union(left.select("b", "a"))
+        near = _store.table(both.groupBy("id").agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "near")
+        far = near.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        labels = _store.table(near.join(far, "label").select("id", F.col("far").alias("label")), "labels")
+        rounds.append(labels)
+        a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        ends = left.join(a, "a").join(b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        left = _store.table(ends.distinct(), "links")
+        if not left.limit(1).count():
+            break
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("id").alias("label"), F.col("label").alias("last"))
+        found = rounds.pop().join(later, "label", "left").select("id", F.coalesce("last", "label").alias("label"))
+    return _store.table(found, "labels")
