@@ -8,10 +8,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Documents of an Arrow batch at most: a batch stands in the JVM and in Python, several times in each.
+BATCH = 2_000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batches to BATCH rows; a smaller setting of its own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -31,6 +42,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: the lineage ends there, and a lost executor takes
     no part of it along. Removed when the driver's Python ends."""
     spark = df.sparkSession
+    _small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/nearfold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
