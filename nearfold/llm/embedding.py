@@ -7,8 +7,9 @@ either side of it decide which pairs are computed exactly.
 
 Pairs are looked for within buckets of equal label and equal bits in some table, not among all pairs: vectors at cosine 0.98
 differ in a bit with probability acos(0.98) / pi = 0.064, and so share one of TABLES tables of BITS bits but with
-probability (1 - 0.936**BITS)**TABLES. A pair counts in the first table that holds it. Equal vectors form one class first, so
-that copies cost nothing.
+probability (1 - 0.936**BITS)**TABLES. Every bit of every table is the sign along a Gaussian direction of its own, not one of
+the code's: tables that share bits fail together. A pair counts in the first table that holds it. Equal vectors form one class
+first, so that copies cost nothing.
 """
 
 from __future__ import annotations
@@ -44,17 +45,16 @@ def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turned.reshape(len(unit), -1) > 0, factor
 
 
-def table_bits(rows: int, bits: int, threshold: float) -> list[np.ndarray]:
-    """Places of the bits of each table: enough bits that random vectors fill buckets of about PER_BUCKET, and enough tables."""
-    width = min(bits, max(LEAST_BITS, ceil(log2(max(2, rows) / PER_BUCKET))))
+def table_planes(rows: int, dim: int, threshold: float) -> np.ndarray:
+    """Directions (table, dim, bit): enough bits that random vectors fill buckets of about PER_BUCKET, and enough tables."""
+    width = max(LEAST_BITS, ceil(log2(max(2, rows) / PER_BUCKET)))
     same = (1 - acos(threshold) / pi) ** width
     count = ceil(np.log(MISS) / np.log(1 - same))
-    r = np.random.default_rng(13)
-    return [np.sort(r.choice(bits, width, replace=False)) for _ in range(count)]
+    return np.random.default_rng(13).standard_normal((count, dim, width))
 
 
-def _keys(code: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    return np.stack([code[:, t] @ (1 << np.arange(len(t), dtype=np.int64)) for t in tables], axis=1)
+def _keys(x: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    return np.stack([(x @ t > 0) @ (1 << np.arange(t.shape[1], dtype=np.int64)) for t in tables], axis=1)
 
 
 def near(x: np.ndarray, turn: np.ndarray, threshold: float) -> np.ndarray:
@@ -121,12 +121,12 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame,
     """(links (a, b) that join all components, counts (id, n) to be summed) of classes of vectors of ``dim`` parts."""
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     turn = rotations(dim)
-    tables = table_bits(most, dim * ROTATIONS, threshold)
+    tables = table_planes(most, dim, threshold)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = _keys(encode(unit(_matrix(pa.chunked_array([batch.column("v")]), dim)), turn)[0], tables)
+                keys = _keys(unit(_matrix(pa.chunked_array([batch.column("v")]), dim)), tables)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * len(tables)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["label", "id", "keys"])
 
@@ -149,7 +149,7 @@ def _linked(classes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame,
         if table.column("x")[0].as_py() != table.column("y")[0].as_py():  # pairs within a block belong to another group
             close &= side[:, None] != side[None]
         if t:
-            earlier = _keys(encode(x, turn)[0], tables[:t])
+            earlier = _keys(x, tables[:t])
             i, j = np.nonzero(np.triu(close, 1))
             seen = (earlier[i] == earlier[j]).any(axis=1)
             close[i[seen], j[seen]] = close[j[seen], i[seen]] = False

@@ -188,6 +188,22 @@ def test_estimate_is_unbiased_and_bounded():
     assert abs(error.mean()) < 2e-3 and np.abs(error).max() < embedding.ERRORS * (np.sqrt(1 - factor**2) / factor / np.sqrt(255)).max()
 
 
+def pairs_at(cosine, n, dim, seed):
+    r = np.random.default_rng(seed)
+    x, y = embedding.unit(r.standard_normal((n, dim))), r.standard_normal((n, dim))
+    y = embedding.unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y
+
+
+def test_tables_miss_no_more_than_they_say_in_large_labels():
+    tables = embedding.table_planes(10_000_000, 64, 0.98)
+    missed = 0
+    for seed in range(10):
+        x, y = pairs_at(0.98, 20_000, 64, seed)
+        missed += int((embedding._keys(x, tables) != embedding._keys(y, tables)).all(axis=1).sum())
+    assert missed <= 3  # 0.2 expected
+
+
 def test_sql_gives_the_same_rows(spark, tmp_path):
     rows = corpus(7)
     folder = saved(spark, tmp_path, documents=docs(spark, rows))
