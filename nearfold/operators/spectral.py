@@ -1,11 +1,14 @@
 """Low spectrum of the normalised Laplacian, nodal domains and cuts.
 
 Graphs of up to DENSE nodes are solved densely, one task per graph, so a sweep over k runs side by side; larger ones by
-Lanczos steps whose products are joins.
+Lanczos steps, in one task too, with restarts that keep the vectors few; lanczos() above ONE_TASK edges by products that are
+joins.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +19,8 @@ from . import components as C
 from .graph import adjacency, degrees
 
 PAIRS, DENSE, SEED = 33, 5_000, 521
+#: Largest residual of a pair that Lanczos steps give.
+TOLERANCE = 1e-10
 
 
 def _matrix(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,20 +34,68 @@ def _matrix(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     return ids, np.eye(len(ids)) - a * root[:, None] * root[None], s
 
 
-def spectrum(edges: DataFrame, pairs: int = PAIRS) -> DataFrame:
+def _solve(u: np.ndarray, v: np.ndarray, w: np.ndarray, pairs: int, dense: int, tolerance: float = TOLERANCE) -> tuple[np.ndarray, ...]:
+    """(nodes, values, vectors, residuals) of the smallest eigenpairs."""
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    if len(ids) <= dense:
+        ids, lap, _ = _matrix(u, v, w)
+        values, vectors = np.linalg.eigh(lap)
+        values, vectors = values[:pairs], vectors[:, :pairs]
+        return ids, values, vectors, np.linalg.norm(lap @ vectors - vectors * values, axis=0)
+    n, a, b = len(ids), place[: len(u)], place[len(u) :]
+    s = np.bincount(a, w, n) + np.bincount(b, w, n)
+    m = w / np.sqrt(s[a] * s[b])
+
+    def lap_of(x: np.ndarray) -> np.ndarray:
+        return x - np.bincount(a, m * x[b], n) - np.bincount(b, m * x[a], n)
+
+    values, vectors = _lowest(lap_of, n, min(pairs, n), tolerance)
+    return ids, values, vectors, np.array([np.linalg.norm(lap_of(q) - x * q) for x, q in zip(values, vectors.T)])
+
+
+def _lowest(product, n: int, pairs: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest eigenpairs of a symmetric matrix given by its product, by Lanczos steps with thick restarts.
+
+    One start never meets the second vector of an equal pair of values. So when all have converged a random direction is put
+    in and the steps go on; they end when the same values converge again, with one pair more.
+    """
+    want, size = min(pairs + 1, n), min(n, 3 * pairs + 60)
+    r = np.random.default_rng(SEED)
+    basis, image = np.empty((n, size)), np.empty((n, size))
+    held, settled, new = 0, None, r.standard_normal(n)
+    while True:
+        for j in range(held, size):
+            before = np.linalg.norm(new)
+            for _ in range(2):  # twice is enough
+                new = new - basis[:, :j] @ (basis[:, :j].T @ new)
+            if np.linalg.norm(new) <= 1e-12 * max(before, 1.0):  # an invariant subspace
+                new = r.standard_normal(n)
+                for _ in range(2):
+                    new = new - basis[:, :j] @ (basis[:, :j].T @ new)
+            basis[:, j] = new / np.linalg.norm(new)
+            image[:, j] = new = product(basis[:, j])
+        values, small = np.linalg.eigh((lambda h: (h + h.T) / 2)(basis.T @ image))
+        few = small[:, :want]
+        residual = np.linalg.norm(image @ few - (basis @ few) * values[:want], axis=0)
+        if residual.max() <= tolerance:
+            if size == n or settled is not None and np.abs(values[:pairs] - settled).max() <= 10 * tolerance:
+                return values[:pairs], basis @ small[:, :pairs]
+            settled, new = values[:pairs], r.standard_normal(n)
+        for _ in range(2):  # of all directions so far, those that are dropped too
+            new = new - basis @ (basis.T @ new)
+        held = min(size - 1, want + (size - want) // 3)
+        basis[:, :held], image[:, :held] = basis @ small[:, :held], image @ small[:, :held]
+
+
+def spectrum(edges: DataFrame, pairs: int = PAIRS, dense: int = DENSE) -> DataFrame:
     """(graph, node, q array, values array, residuals array, orthogonality) of the smallest eigenpairs of each connected graph of
     ``edges`` (graph, u, v, w); all pairs of graphs of fewer nodes. Of each vector the entry of largest size is positive."""
 
     def run(table: pa.Table) -> pa.Table:
         graph = table.column("graph")[0].as_py()
-        ids, lap, _ = _matrix(*(table.column(c).to_numpy() for c in ("u", "v", "w")))
-        if len(ids) > DENSE:
-            raise ValueError(f"graph {graph} has {len(ids)} nodes; spectrum() solves up to {DENSE}, lanczos() more")
-        values, vectors = np.linalg.eigh(lap)
-        values, vectors = values[:pairs], vectors[:, :pairs]
+        ids, values, vectors, residual = _solve(*(table.column(c).to_numpy() for c in ("u", "v", "w")), pairs, dense)
         top = np.abs(vectors).argmax(axis=0)
         vectors = vectors * np.where(vectors[top, np.arange(len(values))] < 0, -1.0, 1.0)
-        residual = np.linalg.norm(lap @ vectors - vectors * values, axis=0)
         orthogonality = float(np.abs(vectors.T @ vectors - np.eye(len(values))).max())
         n = len(ids)
         return pa.table(
@@ -76,13 +129,21 @@ def sanity(solved: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(c, "graph")
 
 
-def lanczos(edges: DataFrame, steps: int = 100, pairs: int = 2, seed: int = SEED) -> DataFrame:
-    """(idx, value, residual) of the smallest eigenpairs of one connected graph, for any number of nodes.
+def lanczos(edges: DataFrame, steps: int | None = None, pairs: int = 2, seed: int = SEED, tolerance: float = 1e-8, one_task: int = C.ONE_TASK) -> DataFrame:
+    """(idx, value, residual) of the smallest eigenpairs of one connected graph, for any number of nodes: steps until all residuals
+    are at most ``tolerance``, or exactly ``steps`` of them, whose residuals may be larger.
 
     Lanczos steps for 2 I - L, whose largest eigenvalues these are. A product is a join and a sum; the vectors so far are an
     array beside each node, so orthogonalising against all of them is one more sum. ``residual`` is the usual bound, the last
-    off-diagonal times the last entry of the small matrix's vector.
+    off-diagonal times the last entry of the small matrix's vector. Up to ``one_task`` edges one task takes all the steps.
     """
+    if steps is None and edges.limit(one_task + 1).count() <= one_task:
+
+        def run(table: pa.Table) -> pa.Table:
+            _, values, _, residuals = _solve(*(table.column(c).to_numpy() for c in ("u", "v", "w")), pairs, 0, tolerance)
+            return pa.table({"idx": pa.array(range(1, len(values) + 1), pa.int32()), "value": values, "residual": residuals})
+
+        return edges.select("u", "v", "w", F.lit(0).alias("all")).groupBy("all").applyInArrow(lambda t: run(t), "idx int, value double, residual double")
     s = degrees(edges).select("node", "strength")
     link = adjacency(edges).join(s.select(F.col("node").alias("src"), F.col("strength").alias("s1")), "src").join(s.select(F.col("node").alias("dst"), F.col("strength").alias("s2")), "dst")
     link = cut(link.select("src", "dst", (F.col("w") / F.sqrt(F.col("s1") * F.col("s2"))).alias("m")))
@@ -91,7 +152,7 @@ def lanczos(edges: DataFrame, steps: int = 100, pairs: int = 2, seed: int = SEED
     basis = cut(start.select("node", F.array(F.col("x") / norm).alias("h")))
     alpha: list[float] = []
     beta: list[float] = []
-    for j in range(steps):
+    for j in count() if steps is None else range(steps):
         last = basis.select(F.col("node").alias("dst"), F.element_at("h", -1).alias("x"))
         product = link.join(last, "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("x")).alias("p"))
         w = basis.join(product, "node", "left").select("node", "h", (F.element_at("h", -1) + F.coalesce("p", F.lit(0.0))).alias("y"))
@@ -104,11 +165,10 @@ def lanczos(edges: DataFrame, steps: int = 100, pairs: int = 2, seed: int = SEED
         w = cut(w)
         size = float(w.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0])
         beta.append(size)
-        if size < 1e-10:
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+        if size < 1e-10 or steps is None and j + 1 >= pairs and size * np.abs(vectors[-1, -pairs:]).max() <= tolerance:
             break
         basis = cut(w.select("node", F.concat("h", F.array(F.col("y") / size)).alias("h")))
-    t = np.diag(alpha) + np.diag(beta[: len(alpha) - 1], 1) + np.diag(beta[: len(alpha) - 1], -1)
-    values, vectors = np.linalg.eigh(t)
     rows = [(k + 1, float(2 - values[-1 - k]), float(beta[-1] * abs(vectors[-1, -1 - k]))) for k in range(min(pairs, len(values)))]
     return edges.sparkSession.createDataFrame(rows, "idx int, value double, residual double")
 
@@ -176,7 +236,7 @@ def nodal_domains(edges: DataFrame, vector: DataFrame, tolerance: float = 1e-10,
     return found.unionByName(signed.where("sign = 0").select("node", "sign", F.lit(-1).alias("domain")))
 
 
-def fiedler_sweep(births: DataFrame, nodes: DataFrame, k_min: int, k_max: int) -> DataFrame:
+def fiedler_sweep(births: DataFrame, nodes: DataFrame, k_min: int, k_max: int, dense: int = DENSE) -> DataFrame:
     """(k, components, lambda2, residual) for each k, from (u, v, birth, w): the second eigenvalue of the whole graph if it is
     connected, else 0 without a residual. One task per k."""
     n = nodes.count()
@@ -190,11 +250,8 @@ def fiedler_sweep(births: DataFrame, nodes: DataFrame, k_min: int, k_max: int) -
         parts = len(np.unique(label)) + n - len(ids)
         value, residual = 0.0, None
         if parts == 1:
-            if n > DENSE:
-                raise ValueError(f"the sweep solves graphs of up to {DENSE} nodes; use lanczos() for each k")
-            _, lap, _ = _matrix(u, v, w)
-            values, vectors = np.linalg.eigh(lap)
-            value, residual = float(values[1]), float(np.linalg.norm(lap @ vectors[:, 1] - values[1] * vectors[:, 1]))
+            _, values, _, residuals = _solve(u, v, w, 2, dense)
+            value, residual = float(values[1]), float(residuals[1])
         return pa.table({"k": table.column("k").slice(0, 1), "components": pa.array([parts], pa.int64()), "lambda2": pa.array([value]), "residual": pa.array([residual], pa.float64())})
 
     return dealt.groupBy("k").applyInArrow(run, "k int, components long, lambda2 double, residual double")

@@ -145,6 +145,24 @@ def test_lanczos_finds_the_dense_value(spark):
     assert abs(L.lanczos(e, steps=9).where("idx = 2").first().value - dense) < 1e-8
 
 
+@pytest.mark.parametrize("one_task", [0, 1_000])
+def test_lanczos_goes_on_until_the_pairs_have_converged(spark, one_task):
+    e, _ = graph(spark, [(i, i + 1) for i in range(15)])  # 12 steps are not enough
+    got = {r.idx: r for r in L.lanczos(e, one_task=one_task).collect()}
+    assert abs(got[1].value) < 1e-8 and abs(got[2].value - (1 - np.cos(np.pi / 15))) < 1e-8
+    assert max(r.residual for r in got.values()) <= 1e-8
+
+
+def test_graphs_above_the_dense_limit(spark):
+    e, n = graph(spark, [(i, (i + 1) % 300) for i in range(300)])  # every value but the first and last is double
+    got = L.spectrum(e.withColumn("graph", F.lit(1)), 9, dense=100)
+    want = np.sort(1 - np.cos(2 * np.pi * np.arange(300) / 300))[:9]
+    rows = L.eigenvalues(got).orderBy("idx").collect()
+    assert np.allclose([r.value for r in rows], want, atol=1e-10) and max(r.residual for r in rows) < 1e-9
+    curve = L.fiedler_sweep(e.withColumn("birth", F.lit(1)), n, 1, 1, dense=100).first()
+    assert curve.components == 1 and abs(curve.lambda2 - want[1]) < 1e-10
+
+
 def test_nodal_domains_of_two_cliques(spark):
     e, n = graph(spark, BRIDGE)
     v = L.spectrum(e.withColumn("graph", F.lit(1))).select("node", F.get("q", F.lit(1)).alias("q"))
