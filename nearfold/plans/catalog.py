@@ -589,10 +589,14 @@ def _(spark, sf):
 # --- spectra and communities, whose proof is in their own columns ---
 
 
-def solved(spark: SparkSession, sf: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
+def largest(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
     e = edges(spark, sf, k)
-    largest = C.ranked_nodes(C.components(e, nodes(spark, sf))).where("component_rank = 1")
-    e = cut(G.induced(e, largest).withColumn("graph", F.lit(k)))
+    top = C.ranked_nodes(C.components(e, nodes(spark, sf))).where("component_rank = 1")
+    return cut(G.induced(e, top).withColumn("graph", F.lit(k)))
+
+
+def solved(spark: SparkSession, sf: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    e = largest(spark, sf, k)
     return e, cut(L.spectrum(e))
 
 
@@ -614,8 +618,7 @@ def _(spark, sf):
 
 @query("lanczos_fiedler")
 def _(spark, sf):
-    e, _ = solved(spark, sf)
-    return L.lanczos(e, steps=12)
+    return L.lanczos(largest(spark, sf))
 
 
 @query("spectral_embedding")
