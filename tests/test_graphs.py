@@ -300,3 +300,16 @@ def test_sinks(spark, tmp_path):
 def test_catalog_has_sql_for_all_but_solvers():
     rows_only = {n for n in catalog.QUERIES if n not in catalog.ORACLES}
     assert len(catalog.ORACLES) >= 65 and not any(n.startswith(("knn", "tag", "degree", "clustering")) for n in rows_only)
+
+
+def test_threshold_above_four(spark, tmp_path):
+    # twelve equal groups of eight equal vectors: none sees beyond its own before k = 8
+    rows = [(8 * g + i, [float(g), float(g * g)], 0) for g in range(12) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.QUERIES["connectivity_threshold"](spark, str(tmp_path)).first().k_c >= 8
+
+
+def test_comparison_has_every_k(spark, tmp_path):
+    x = np.random.default_rng(2).standard_normal((80, 4))
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.k for r in catalog.QUERIES["comparison_by_k"](spark, str(tmp_path)).select("k").collect()} == {2, 3, 64}
