@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _store
 from ._words import LOWER, NOT_ALNUM, U64, blocks, grams, mix, words
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -31,6 +32,9 @@ BITS, BLOCKS, RADIUS = 128, 16, 44
 CLASS, STEPS = 1.12, 8
 #: Characters of the items that are held against the documents in one pass.
 SLICE_CHARS = 32_000_000
+KIND = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
+KIND_SQL = "array<struct<item:long,similarity:double>>"
+ITEMS = f"items {KIND_SQL}"
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
@@ -39,20 +43,36 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(wide.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return words(data, np.array([0, len(data)]), NOT_ALNUM, LOWER)[0]
+
+
+def _find(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``known``, whether they hold the hashes)."""
+    if not len(known):
+        return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE, similar: float = SIMILAR):
+    """Of ``items``; ``whole`` (number, shingles in order, their holders) counts those of all slices, if these are one of several:
+    shingles that are not in it have one holder or none."""
+
+    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE, similar: float = SIMILAR, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.shingle, self.similar = shingle, similar
         self.ids, self.sets, self.sizes = [], [], []
         for i, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            hashes = words(data, np.array([0, len(data)]), NOT_ALNUM, LOWER)[0]
+            hashes = _hashes(text)
             if len(hashes) >= shingle:
                 self.ids.append(i)
                 self.sets.append(np.unique(grams(hashes, shingle)))
                 self.sizes.append(len(hashes))
         self.known, holders = np.unique(np.concatenate(self.sets) if self.sets else np.empty(0, U64), return_counts=True)
-        self.most = log(1 + max(1, len(self.ids)))
-        self.weight = np.log(1 + len(self.ids) / np.maximum(1, holders))
+        number, self.counted, holders = whole or (len(self.ids), self.known, holders)
+        self.most = log(1 + max(1, number))
+        self.weight = np.log(1 + number / np.maximum(1, holders))
         self.total = np.array([self.weigh(s).sum() for s in self.sets])
         codes = np.array([self.code(_signs(s), self.weigh(s)) for s in self.sets], np.uint8).reshape(len(self.sets), BITS // 8)
         self.codes = codes
@@ -72,14 +92,11 @@ class Index:
             self.classes[size] = (min(self.total[k] for k in members), tables)
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        at, hit = self.find(hashes)
-        return np.where(hit, self.weight[at], self.most) if len(self.known) else np.full(len(hashes), self.most)
+        at, hit = _find(self.counted, hashes)
+        return np.where(hit, self.weight[at], self.most) if len(self.counted) else np.full(len(hashes), self.most)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.known):
-            return np.zeros(len(hashes), int), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return at, self.known[at] == hashes
+        return _find(self.known, hashes)
 
     @staticmethod
     def code(signs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -146,16 +163,57 @@ def _searched(index: Index, column: pa.Array) -> Iterator[dict[int, float]]:
             yield index.search(every[a:b]) if b > a and some[b] > some[a] else {}
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Of slices of the items, each small enough to be sent to all executors."""
+def indexes(benchmark: DataFrame) -> tuple[int, Iterator[Index]]:
+    """(number, indexes) of slices of the items, each small enough to be sent to all executors. They are made one by one, all
+    with the weights of the whole benchmark."""
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, ceil(chars / SLICE_CHARS))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
-    out = []
-    for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
-        out.append(Index(sorted({(r["item_id"], r["text"]) for r in rows})))
-    return out
+
+    def each() -> Iterator[Index]:
+        whole = counts(items) if slices > 1 else None
+        for k in range(slices):
+            rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
+            yield Index(sorted({(r["item_id"], r["text"]) for r in rows}), whole=whole)
+
+    return slices, each()
+
+
+def counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number of items with a shingle, shingles of several items in order, their holders)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if len(hashes := _hashes(text)) >= SHINGLE:
+                    own = np.unique(grams(hashes, SHINGLE)).astype(U64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(own)) == 0)], ["shingle", "first"])
+
+    spread = _store.table(items.distinct().mapInArrow(run, "shingle long, first boolean"), "shingles")
+    number = spread.where("first").count()
+    table = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    shared, n = table.column("shingle").to_numpy().view(U64), table.column("n").to_numpy()
+    order = np.argsort(shared)
+    return number, shared[order], n[order]
+
+
+def _numbered(docs: DataFrame, indexes: Iterator[Index]) -> tuple[DataFrame, DataFrame]:
+    """(docs with a number ``_row``, (_row, items) of those with leaks): a pass over the documents for each slice."""
+    kept = _store.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = None
+    for index in indexes:
+        leaks = _store.table(kept.select("_row", "text").mapInArrow(_pass(index, "_row"), f"_row long, {ITEMS}").where(F.size("items") > 0), "leaks")
+        found = leaks if found is None else found.union(leaks)
+    return kept, found.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _pass(index: Index, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sorted(({"item": index.ids[k], "similarity": s} for k, s in found.items()), key=lambda x: x["item"]) for found in _searched(index, batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, KIND)], [key, "items"])
+
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -167,29 +225,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     result; other columns are not read.
     """
     named = docs.select("doc_id", "text")
-    every = indexes(benchmark)
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[] for _ in range(batch.num_rows)]
-            for index in every:
-                for row, found in zip(rows, _searched(index, batch.column("text"))):
-                    row += [{"item": index.ids[k], "similarity": s} for k, s in found.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(r, key=lambda x: x["item"]) for r in rows], kind)], ["doc_id", "items"])
-
-    return named.mapInArrow(run, f"doc_id {dict(named.dtypes)['doc_id']}, items array<struct<item:long,similarity:double>>")
+    slices, every = indexes(benchmark)
+    if slices == 1:
+        return named.mapInArrow(_pass(next(every), "doc_id"), f"doc_id {dict(named.dtypes)['doc_id']}, {ITEMS}")
+    kept, found = _numbered(named, every)
+    return kept.select("_row", "doc_id").join(found, "_row", "left").select("doc_id", F.coalesce("items", F.array().cast(KIND_SQL)).alias("items"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    every = indexes(benchmark)
+    slices, every = indexes(benchmark)
+    if slices > 1:
+        kept, found = _numbered(docs, every)
+        return kept.join(found, "_row", "left_anti").select(docs.columns)
+    index = next(every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for index in every:
-                clean &= np.fromiter((not found for found in _searched(index, batch.column("text"))), bool, batch.num_rows)
-            yield batch.filter(pa.array(clean))
+            yield batch.filter(pa.array(np.fromiter((not found for found in _searched(index, batch.column("text"))), bool, batch.num_rows)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -211,3 +211,20 @@ def test_sql_gives_the_same_rows(spark, tmp_path):
     con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
     want = con.execute(queries.ORACLES["op7_substring"]).fetchall()
     assert sorted(map(tuple, queries.op7_substring(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == sorted(want)
+
+
+def test_leaks_do_not_depend_on_slices(spark, monkeypatch):
+    r = random.Random(8)
+    shared = words(r, 30, 5000)  # half of the items hold it
+    items = [(k, " ".join(words(r, 30, 5000) + shared * (k % 2))) for k in range(40)]
+    rows = [(None if k == 7 else k, " ".join(edited(r, items[k % 40][1].split(), k % 3))) for k in range(80)] + [(100, None), (101, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        leaks = [(x.doc_id, [(s.item, round(s.similarity, 9)) for s in x["items"]]) for x in decontam.find_leaks(docs(spark, rows), bench).collect()]
+        clean = [x.doc_id for x in decontam.without_leaks(docs(spark, rows), bench).collect()]
+        return sorted(leaks, key=str), sorted(clean, key=str)
+
+    whole = found()
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 3_000)
+    assert decontam.indexes(bench)[0] > 1 and found() == whole
