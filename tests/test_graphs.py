@@ -313,3 +313,18 @@ def test_comparison_has_every_k(spark, tmp_path):
     x = np.random.default_rng(2).standard_normal((80, 4))
     spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {r.k for r in catalog.QUERIES["comparison_by_k"](spark, str(tmp_path)).select("k").collect()} == {2, 3, 64}
+
+
+def test_whole_tables(spark, tmp_path):
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    save("lineitem", [(1, 1, 50.0), (1, 2, 1.0), (2, 2, 1.0), (3, 3, 1.0)], "l_suppkey long, l_partkey long, l_quantity double")
+    save("orders", [(k, 1, 1024.0 * (200 - k)) for k in range(62, 67)], "o_orderkey long, o_custkey long, o_totalprice double")
+    save("customer", [(i, 0, 16384.0 * (9 if i == 14 else 1)) for i in range(1, 16)], "c_custkey long, c_nationkey long, c_acctbal double")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    one = run("copurchase_components_whole")[0]
+    assert (one.n_nodes, one.n_components, one.largest_component_size) == (6, 2, 4)
+    assert [(r.k, r.change) for r in run("fiedler_decreases_whole")] == [(k, -1.0) for k in range(62, 66)]
+    assert {r.idx: r.right_gap for r in run("eigen_gaps_whole")} == {i: 9.0 if i == 13 else 1.0 for i in range(2, 15)}
+    assert len(run("gap_selection_whole")) == 1
