@@ -106,11 +106,12 @@ def listed(found: Column) -> Column:
 def redact(docs: DataFrame, owner: str = "source", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live secret replaced by ``mask`` (and n_chars, if there, counted anew); all rows stay.
 
-    Of spans that overlap, the first and then the longest is replaced. Rows of null doc_id or text stay as they are.
+    Of spans that overlap, the first and then the longest is replaced. Rows of null text stay as they are.
     """
     hit = find_secrets(docs, owner).select("doc_id", "digest", F.filter("found", lambda s: s["live"]).alias("_found")).where(F.size("_found") > 0)
     hit = _store.table(hit.groupBy("doc_id", F.col("digest").alias("_digest")).agg(F.first("_found").alias("_found")), "live")
-    both = docs.withColumn("_digest", F.xxhash64("text")).join(hit, ["doc_id", "_digest"], "left")
+    hit = hit.withColumnsRenamed({"doc_id": "_id", "_digest": "_of"})
+    both = docs.withColumn("_digest", F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left")
     ordered = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))))
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

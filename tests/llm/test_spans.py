@@ -151,3 +151,9 @@ def test_secret_owners_and_redaction(spark):
     clean = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(d).collect()}
     assert clean[1] == ("é [SECRET] end", 14) and clean[4][0] == f"x {common}" and clean[5] == (None, None)
     assert secrets.redact(d).columns == d.columns
+
+
+def test_secrets_of_rows_without_id_are_masked(spark):
+    value = "ghp_" + "Zq7Lk2Vw9Xb4Nc8Rt5Yp1Md6Hs3Jf0Ga8Eu2"
+    d = docs(spark, [(None, f"a {value} b", "en", "a"), (None, "nothing", "en", "a"), (1, None, "en", "a"), (None, f"a {value} b", "en", "a")])
+    assert sorted(str(r.text) for r in secrets.redact(d).collect()) == ["None", "a [SECRET] b", "a [SECRET] b", "nothing"]
