@@ -142,7 +142,9 @@ class Scanner:
             chains: list[tuple[int, int, int, int]] = []  # start, end, end in the template, words covered
             for start, end, there in found:
                 best = (start, end, there, end - start)
-                for a, b, t, n in reversed(chains[-16:]):
+                for a, b, t, n in reversed(chains):
+                    if b + MOST_GAP < start:  # so do all before it
+                        break
                     if b <= start <= b + MOST_GAP and t <= there - (end - start) and n + end - start > best[3]:
                         best = (a, end, there, n + end - start)
                 chains.append(best)

@@ -157,3 +157,12 @@ def test_secrets_of_rows_without_id_are_masked(spark):
     value = "ghp_" + "Zq7Lk2Vw9Xb4Nc8Rt5Yp1Md6Hs3Jf0Ga8Eu2"
     d = docs(spark, [(None, f"a {value} b", "en", "a"), (None, "nothing", "en", "a"), (1, None, "en", "a"), (None, f"a {value} b", "en", "a")])
     assert sorted(str(r.text) for r in secrets.redact(d).collect()) == ["None", "a [SECRET] b", "a [SECRET] b", "nothing"]
+
+
+def test_chains_reach_back_over_many_others():
+    s = object.__new__(license_scan.Scanner)
+    s.sizes = [100]
+    # a run of 60, twenty short ones that end later and belong to the template's end, and the run that follows the first
+    s.automaton = type("A", (), {"ends": [[(0, 59)], [(0, 99)]]})
+    found = s.spans([(60, 60, 0), *[(61, 8, 1)] * 20, (101, 40, 1)])
+    assert max(x[3] for x in found) == 1.0
