@@ -1,4 +1,4 @@
-"""Connected components of a link table."""
+"""Connected components of a link table, and joins with sums."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import _store
 
+#: Keys of at least this share of all rows are hot: there are fewer of them than 1 / HOT, whatever the data.
+HOT = 1 / 1_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) for every id in ``edges`` (a, b long): label is the smallest id that links reach.
@@ -33,3 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("id").alias("label"), F.col("label").alias("last"))
         found = rounds.pop().join(later, "label", "left").select("id", F.coalesce("last", "label").alias("label"))
     return _store.table(found, "labels")
+
+
+def matched(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``sums``, a written table of one row per ``key`` whose column ``rows`` counts the rows that have it.
+
+    A key with more than HOT of the rows counted would land in one task. There are at most 1 / HOT such keys, so these go to all
+    executors, and their rows stay where they are; the others are joined by shuffles, in which no key has more than that.
+    """
+    total = sums.agg(F.sum("rows")).first()[0] or 0
+    hot = sums.where(F.col("rows") > HOT * total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.where(F.col("rows") <= HOT * total), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))

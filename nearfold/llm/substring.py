@@ -20,10 +20,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._links import matched
 from ._words import SPACE, U64, blocks, lists, longs, mix, window_hash, words
 
 WINDOW, PHRASE = 20, 6
@@ -32,7 +33,10 @@ _LETTER_BITS = 5
 _WORD_BITS = 2 * _LETTER_BITS
 #: Bits of the sieve that passes documents without recurring phrases by; it lets through more as the corpus grows.
 SIEVE_BITS = 1 << 23
+#: The document of null ids in the order of documents.
 _LAST = (1 << 63) - 1
+#: What tells rows apart: the document's place in the order, and a hash of the text. Rows equal in both are one.
+_ROW = ("rank", "of")
 
 
 def chosen(hashes: np.ndarray, doc: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +67,8 @@ def chosen(hashes: np.ndarray, doc: np.ndarray, window: int, phrase: int) -> tup
 
 
 def _phrases(window: int, phrase: int):
+    """(key, rank, of, n): the chosen phrases of each text, each once, with its number of places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, bounds in blocks(batch.column("text")):
@@ -70,7 +76,12 @@ def _phrases(window: int, phrase: int):
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
                 _, key, _, place = chosen(hashes, doc, window, phrase)
                 if len(place):
-                    yield pa.RecordBatch.from_arrays([longs(key[place]), batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc[place]))], ["key", "doc_id"])
+                    mine, doc = key[place], doc[place]
+                    order = np.lexsort([mine, doc])
+                    mine, doc = mine[order], doc[order]
+                    start = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (doc[1:] != doc[:-1])]))
+                    own = [batch.column(c).slice(lo, hi - lo).take(pa.array(doc[start])) for c in _ROW]
+                    yield pa.RecordBatch.from_arrays([longs(mine[start]), *own, longs(np.diff(np.append(start, len(mine))))], ["key", *_ROW, "n"])
 
     return run
 
@@ -116,7 +127,8 @@ def _stretches(window: int, phrase: int):
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 mine = each[np.repeat(runs[:, 0], sizes) + nth]
                 whole = np.add.reduceat(mix(mine + mix(nth.astype(U64))), np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(doc[place])), longs(runs[:, 0] - first[doc[place]]), longs(key[place]), longs(mix(whole)), lists(mine, sizes)], ["doc_id", "at", "key", "stretch", "windows"])
+                own = [batch.column(c).slice(lo, hi - lo).take(pa.array(doc[place])) for c in (*_ROW, "tie")]
+                yield pa.RecordBatch.from_arrays([*own, longs(runs[:, 0] - first[doc[place]]), longs(key[place]), longs(mix(whole)), lists(mine, sizes)], [*_ROW, "tie", "at", "key", "stretch", "windows"])
 
     return run
 
@@ -128,7 +140,7 @@ def _cut(window: int):
             ranges = batch.column("ranges").to_pylist() if "ranges" in batch.schema.names else [None] * len(text)
             total, removed, kept = [], [], []
             for t, r in zip(text, ranges):
-                w = (t or "").encode().split()
+                w = (t or "").encode().split()  # at ASCII white space, which bytes know alone
                 total.append(len(w))
                 if r:
                     change = np.zeros(len(w) + 1, np.int32)
@@ -142,23 +154,26 @@ def _cut(window: int):
     return run
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """SIEVE_BITS bits of the hashes of ``ids`` (doc_id): of a fixed size, whatever the number of ids."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)) + 1  # of numbers from 1, 32768 to a part
-    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+def _sieve(rows: DataFrame) -> np.ndarray:
+    """SIEVE_BITS bits of the hashes of ``rows`` (rank, of): of a fixed size, whatever the number of rows."""
+    parts = rows.select((_place() + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in parts.collect():
+    for r in parts.collect():  # numbers from 1, 32768 to a part
         bits = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(bits)] = bits
     return out
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64(*_ROW), F.lit(SIEVE_BITS))
+
+
 def _through(sieve: np.ndarray, yes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("place").to_numpy()
             hit = (sieve[p >> 3] >> (p & 7)) & 1 == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(hit if yes else ~hit))
+            yield batch.select(["doc_id", *_ROW, "tie", "text"]).filter(pa.array(hit if yes else ~hit))
 
     return run
 
@@ -167,36 +182,41 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every row of ``docs`` (doc_id, text; more columns are not read).
 
     Every word is removed that some window of ``window`` words covers whose words also stand at an earlier place: in a document
-    of smaller doc_id (null is the largest), or earlier in the same one. Words are split at ASCII white space. ``kept``: the
-    other words, joined by one space. Null and empty texts have no words. Rows that share a doc_id are one document's, each
-    judged by its own places: equal places are not earlier. An empty table gives an empty result.
+    of smaller doc_id, or earlier in the same one. Words are split at ASCII white space. ``kept``: the other words, joined by
+    one space. Null and empty texts have no words. Each row is judged by the places of its own text: rows that share a doc_id are
+    one document, whose equal places are not earlier than each other. Rows of null doc_id are documents of their own, after
+    all others, in the order of a hash of their texts; those of equal text are one. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranked = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    phrases = _store.table(ranked.mapInArrow(_phrases(window, phrase), "key long, doc_id long"), "phrases")
-    # sums are written before they are joined: a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
-    recurring = _store.table(phrases.groupBy("key").agg(F.count("doc_id").alias("n")).where("n > 1").select("key"), "recurring")
-    held = phrases.join(recurring, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    of = F.xxhash64("text")
+    ranked = named.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), of.alias("of"), F.when(F.col("doc_id").isNull(), of).otherwise(0).alias("tie"), "text")
+    row = "rank long, of long"
+    phrases = _store.table(ranked.mapInArrow(_phrases(window, phrase), f"key long, {row}, n long"), "phrases")
+    recurring = _store.table(phrases.groupBy("key").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows")).where("places > 1"), "recurring")
+    held = matched(phrases.select("key", *_ROW), recurring.select("key", "rows"), "key").groupBy(*_ROW).agg(F.collect_set("key").alias("keys"))
     held = _store.table(held, "held")
     sieve = _sieve(held)
-    placed = ranked.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)))
-    some = placed.mapInArrow(_through(sieve, True), "doc_id long, text string")
-    found = some.join(held, "doc_id").select("doc_id", "text", "keys").mapInArrow(_stretches(window, phrase), "doc_id long, at long, key long, stretch long, windows array<long>")
+    placed = ranked.withColumn("place", _place())
+    some = placed.mapInArrow(_through(sieve, True), f"doc_id long, {row}, tie long, text string")
+    found = some.drop("doc_id").join(held, list(_ROW)).mapInArrow(_stretches(window, phrase), f"{row}, tie long, at long, key long, stretch long, windows array<long>")
     found = _store.table(found, "stretches")
 
-    place = F.struct("doc_id", "at")
-    firsts = _store.table(found.groupBy("stretch").agg(F.min(place).alias("first")), "firsts")
-    judged = _store.table(found.select("doc_id", "at", "stretch", F.size("windows").alias("n")).join(firsts, "stretch").select("stretch", "doc_id", "at", "n", (place != F.col("first")).alias("later")), "judged")
-    whole = judged.where("later").select("doc_id", "at", F.col("n").cast("long").alias("n"))
+    place = F.struct("rank", "tie", "at")
+    firsts = _store.table(found.groupBy("stretch").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
+    judged = matched(found.select(*_ROW, "tie", "at", "key", "stretch", F.size("windows").alias("n")), firsts, "stretch").withColumn("later", place != F.col("first"))
+    judged = _store.table(judged.drop("first", "rows"), "judged")
+    whole = judged.where("later").select(*_ROW, "at", F.col("n").cast("long").alias("n"))
     # a window's first place lies in a stretch that is the first of its kind
-    various = found.groupBy("key").agg(F.min("stretch").alias("x"), F.max("stretch").alias("y")).where("x < y").select("key")
-    heads = found.join(various, "key", "left_semi").join(judged.where("not later").select("stretch", "doc_id", "at").distinct(), ["stretch", "doc_id", "at"], "left_semi")
-    single = _store.table(heads.select("doc_id", "at", F.posexplode("windows").alias("nth", "hash")).select("doc_id", (F.col("at") + F.col("nth")).alias("at"), "hash"), "windows")
-    earliest = _store.table(single.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first"), "earliest")
-    alone = single.join(earliest, "hash").where(place != F.col("first")).select("doc_id", "at", F.lit(1).cast("long").alias("n"))
-    ranges = whole.union(alone).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges"))
+    first = judged.where("not later").select("key", "stretch", *_ROW, "at")
+    various = first.groupBy("key").agg(F.min("stretch").alias("x"), F.max("stretch").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").select("key", "rows")
+    several = matched(first, _store.table(various, "various"), "key").select("stretch", *_ROW, "at")
+    heads = found.select("stretch", *_ROW, "tie", "at", "windows").join(several, ["stretch", *_ROW, "at"], "left_semi").dropDuplicates(["stretch", *_ROW, "at"])
+    single = _store.table(heads.select(*_ROW, "tie", "at", F.posexplode("windows").alias("nth", "hash")).select(*_ROW, "tie", (F.col("at") + F.col("nth")).alias("at"), "hash"), "windows")
+    earliest = _store.table(single.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "earliest")
+    alone = matched(single, earliest, "hash").where(place != F.col("first")).select(*_ROW, "at", F.lit(1).cast("long").alias("n"))
+    ranges = whole.union(alone).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
 
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    cut = some.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_cut(window), schema)
-    rest = placed.mapInArrow(_through(sieve, False), "doc_id long, text string").mapInArrow(_cut(window), schema)
-    return cut.union(rest).withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
+    cut = some.join(ranges, list(_ROW), "left").select("doc_id", "text", "ranges").mapInArrow(_cut(window), schema)
+    rest = placed.mapInArrow(_through(sieve, False), f"doc_id long, {row}, tie long, text string").mapInArrow(_cut(window), schema)
+    return cut.union(rest)

@@ -9,8 +9,9 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from nearfold.llm import decontam, embedding, minhash, queries, substring
+from nearfold.llm import _links, decontam, embedding, minhash, queries, substring
 
 from .fixtures import docs, saved
 
@@ -95,28 +96,60 @@ def test_signature_estimates_jaccard():
 
 
 def brute_repeats(rows, window=20):
-    first, texts = {}, {}
-    for i, t in sorted(rows):
+    """(id, words, removed, hash) of each row; rows of null id come last, by the hash of their text."""
+    order = sorted({t for i, t in rows if i is None}, key=lambda t: substring_hash[t])
+    place = lambda i, t: (1 << 63, order.index(t)) if i is None else (i, 0)
+    first, texts = {}, []
+    for i, t in rows:
         w = (t or "").encode().split()
-        texts[i] = w
+        texts.append((i, place(i, t), w))
         for s in range(len(w) - window + 1):
-            first.setdefault(tuple(w[s : s + window]), (i, s))
-    out = {}
-    for i, w in texts.items():
-        gone = {p for s in range(len(w) - window + 1) if first[tuple(w[s : s + window])] != (i, s) for p in range(s, s + window)}
+            at, run = (*place(i, t), s), tuple(w[s : s + window])
+            first[run] = min(first.get(run, at), at)
+    out = []
+    for i, at, w in texts:
+        gone = {p for s in range(len(w) - window + 1) if first[tuple(w[s : s + window])] != (*at, s) for p in range(s, s + window)}
         kept = [x for p, x in enumerate(w) if p not in gone]
-        out[i] = (len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest())
-    return out
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out, key=str)
+
+
+#: xxhash64 of the texts of rows without id, as Spark gives it.
+substring_hash = {}
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_substring(spark, tmp_path, seed):
     rows = corpus(seed) + [(900_000, "x " * 100), (900_001, "x y " * 50), (900_002, "é " * 30 + "\x0b" + "q " * 25)]
     folder = saved(spark, tmp_path, documents=docs(spark, rows).repartition(3))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substring(spark, folder).collect()}
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substring(spark, folder).collect()), key=str)
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_substring_of_repeated_and_null_ids(spark, seed):
+    """Different texts under one id, and several rows without an id: every row by the places of its own text."""
+    r = random.Random(seed)
+    a, x, y = words(r, 30), words(r, 30, 10**6), words(r, 40, 10**6)
+    probe = [(1, a), (2, a), (2, x), (None, a), (None, y)]
+    found = sorted((str(z.doc_id), z.n_removed) for z in substring.remove_repeats(docs(spark, [(i, " ".join(t)) for i, t in probe])).collect())
+    assert found == [("1", 0), ("2", 0), ("2", 30), ("None", 0), ("None", 30)]
+    rows = [(i if i % 7 else None, t) for i, t in corpus(seed)]
+    rows = [(None if i is None else i // 9, t) for i, t in rows] + rows[20:30] + [(None, " ".join(a + y)), (None, " ".join(x + a)), (3, " ".join(a + x)), (3, " ".join(y + a)), (3, " ".join(y[:5] + x + a))]
+    d = docs(spark, rows).repartition(3)
+    substring_hash.update({z.text: z.h for z in d.where("doc_id is null").selectExpr("text", "xxhash64(text) as h").collect()})
+    got = sorted(((z.doc_id, z.n_words, z.n_removed, z.kept_sha256) for z in substring.remove_repeats(d).collect()), key=str)
+    assert got == brute_repeats(rows)
+
+
+def test_matched_gives_the_same_for_hot_keys(spark):
+    """Keys with many rows and keys with few: all rows, once."""
+    rows = spark.createDataFrame([(k % 5 if k < 3_000 else k, k) for k in range(6_000)], "key long, x long")
+    sums = rows.groupBy("key").agg(F.count("x").alias("rows")).where("key % 2 = 0")
+    got = _links.matched(rows, sums, "key").orderBy("x").collect()
+    assert [(g.key, g.x) for g in got] == [(key, k) for k in range(6_000) for key in [k % 5 if k < 3_000 else k] if key % 2 == 0]
+
+
 def test_substring_repeats_and_empty(spark):
     text = " ".join(f"w{k}" for k in range(30))
     d = docs(spark, [(5, text), (5, text), (None, text), (4, "short")])
