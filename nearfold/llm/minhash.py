@@ -3,10 +3,10 @@
 Signature (Li & Li, "C-MinHash"): a first permutation scatters the shingles over 2**32 places; coordinate k is the least
 value of a second permutation, circularly shifted by k. Two permutations so give every coordinate.
 
-1. Documents with the same shingle set form a class; its smallest id stands for it.
+1. Rows with the same shingle set form a class; one of them stands for it.
 2. ``BANDS`` bands of ``ROWS`` coordinates. A pair at the threshold shares a band but with probability
    (1 - 0.8**5)**42 < 1e-7.
-3. Every class is held against one other: of the smallest ids of its buckets, the one that it meets in most. Confirmed on the
+3. Every class is held against one other: of the first members of its buckets, the one that it meets in most. Confirmed on the
    full sets, these links are joined to components. A bucket of one component is done: a further link changes nothing.
 4. Members of the other buckets get sharper bands (``SHARP_BANDS`` of ``SHARP_ROWS``), which again hold every pair at the
    threshold together but with probability (1 - 0.8**10)**130 < 1e-6, and hardly ever pairs below one half. What they
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._links import components
+from ._links import components, matched
+from ._store import fresh
 from ._words import LOWER, SPACE, U64, blocks, grams, lists, longs, mix, words
 
 ROWS, BANDS = 5, 42
@@ -75,7 +76,7 @@ def band_keys(sets: list[np.ndarray], rows: int, bands: int) -> np.ndarray:
 def _sign(width: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, bounds in blocks(batch.column(1)):
+            for lo, hi, buf, bounds in blocks(batch.column("text")):
                 sets = shingle_sets(buf, bounds, width)
                 sizes = np.array([len(s) for s in sets])
                 low = np.array([int(s.sum(dtype=U64)) for s in map(mix, sets)], U64)
@@ -83,7 +84,8 @@ def _sign(width: int, rows: int, bands: int):
                 full = np.flatnonzero(sizes)
                 keys = band_keys([sets[i] for i in full], rows, bands)
                 lengths = np.where(sizes > 0, bands, 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), longs(sizes), longs(low), longs(high), lists(keys.ravel(), lengths)], ["doc_id", "n_shingles", "low", "high", "bands"])
+                own = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "of")]
+                yield pa.RecordBatch.from_arrays([*own, longs(sizes), longs(low), longs(high), lists(keys.ravel(), lengths)], ["doc_id", "of", "n_shingles", "low", "high", "bands"])
 
     return run
 
@@ -91,17 +93,17 @@ def _sign(width: int, rows: int, bands: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, bounds in blocks(batch.column(1)):
+            for lo, hi, buf, bounds in blocks(batch.column("text")):
                 sets = shingle_sets(buf, bounds, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists(np.concatenate(sets), np.array([len(s) for s in sets]))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), lists(np.concatenate(sets), np.array([len(s) for s in sets]))], ["node", "shingles"])
 
     return run
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     na, nb = F.size("sa").cast("long"), F.size("sb").cast("long")
     near = pairs.join(left, "a").join(right, "b").where(F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
@@ -114,7 +116,7 @@ def _sharpen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 256)
             sets = [s.values.to_numpy().view(U64) for s in part.column("shingles")]
             keys = band_keys(sets, SHARP_ROWS, SHARP_BANDS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(keys.ravel(), np.full(len(sets), SHARP_BANDS))], ["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists(keys.ravel(), np.full(len(sets), SHARP_BANDS))], ["node", "keys"])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -148,16 +150,16 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _clustered(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all components within each cluster ``labels`` (id, label) of ``sets`` (doc_id, shingles)."""
-    placed = sets.join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "shingles", F.col("label").alias("cluster"))
-    blocks_ = F.ceil(F.greatest(F.count("doc_id") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
+    """Links (a, b) that join all components within each cluster ``labels`` (id, label) of ``sets`` (node, shingles)."""
+    placed = sets.join(labels, F.col("node") == F.col("id")).select("node", "shingles", F.col("label").alias("cluster"))
+    blocks_ = F.ceil(F.greatest(F.count("node") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
     count = _store.table(placed.groupBy("cluster").agg(blocks_.alias("n")), "blocks")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))
-    dealt = placed.join(count, "cluster").withColumn("mine", mine).select("doc_id", "shingles", "cluster", F.explode(meet).alias("m")).select("doc_id", "shingles", "cluster", "m.x", "m.y")
+    dealt = placed.join(count, "cluster").withColumn("mine", mine).select("node", "shingles", "cluster", F.explode(meet).alias("m")).select("node", "shingles", "cluster", "m.x", "m.y")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         order = np.argsort(ids)
         sets_ = [table.column("shingles")[int(i)].values.to_numpy() for i in order]
         label = linked(sets_, percent)
@@ -167,40 +169,76 @@ def _clustered(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string; more columns are not read).
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, text): ``of`` is a hash of the text, which tells rows that share a doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), "text")
 
-    Null and empty texts and texts without words have no shingles, link with nothing and are kept. Equal texts are linked
-    whatever their length. A doc_id that occurs twice is one document for links and comes out as often as it came in. Rows
-    of null doc_id come out with null component_id and kept true. An empty table gives an empty result.
+
+def _components(docs: DataFrame, width: int, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """minhash_components() with ``of``, the hash of each row's text.
+
+    A node is a class of rows of equal shingle sets, by the number of one of its rows; its ``rep`` is its smallest doc_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = _store.table(docs.mapInArrow(_sign(width, rows, bands), "doc_id long, n_shingles long, low long, high long, bands array<long>"), "signed")
-    same = _store.table(signed.where("n_shingles > 0 and doc_id is not null").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    held = signed.where("n_shingles > 0").join(same, ["low", "high", "n_shingles"]).select("doc_id", "rep")
-    banded = signed.select("doc_id", "bands").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
-    shared = _store.table(shared, "shared")  # a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
-    members = _store.table(banded.join(shared, "key").distinct(), "buckets")
-    meets = members.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = meets.groupBy("doc_id").agg(F.max_by("pivot", F.struct(F.col("n"), -F.col("pivot"))).alias("a"))
-    star = _store.table(best.select("a", F.col("doc_id").alias("b")), "pairs")
-    wanted = members.select("doc_id").distinct()
-    sets = _store.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    docs = _rows(docs)
+    signed = docs.mapInArrow(_sign(width, rows, bands), "doc_id long, of long, n_shingles long, low long, high long, bands array<long>")
+    signed = _store.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # numbered once, as written
+    whole = ["low", "high", "n_shingles"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.min("row").alias("node"), F.count(F.lit(1)).alias("rows"))
+    classes = _store.table(classes, "classes")
+    banded = signed.select(F.col("row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
+    banded = _store.table(banded, "bands")
+    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("pivot < last").select("key", "pivot", "rows")
+    shared = _store.table(shared, "shared")
+    members = _store.table(matched(banded, shared, "key").select("node", "key", "pivot"), "buckets")
+    meets = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = meets.groupBy("node").agg(F.max_by("pivot", F.struct(F.col("n"), -F.col("pivot"))).alias("a"))
+    star = _store.table(best.select("a", F.col("node").alias("b")), "pairs")
+    wanted = signed.select(F.col("row").alias("node"), "doc_id", "of").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.join(wanted, ["doc_id", "of"])  # a node's row, and rows equal to it
+    sets = _store.table(texts.select("node", "text").mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     links = _store.table(_confirm(star, sets, percent), "confirmed")
     labels = components(links)
 
-    labelled = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    open_ = _store.table(labelled.join(mixed, "key", "left_semi"), "open")
-    several = _store.table(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), "several")
-    sharp = several.mapInArrow(_sharpen, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    labelled = members.select("node", "key").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").select("key", "rows")
+    open_ = matched(members.select("node", "key"), _store.table(mixed, "mixed"), "key").select("node").distinct()
+    several = _store.table(sets.join(open_, "node", "left_semi"), "several")
+    sharp = several.mapInArrow(_sharpen, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     sharp = _store.table(sharp, "sharp")
-    heads = sharp.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
-    held_together = sharp.join(heads, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    heads = sharp.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("pivot < last").select("key", "pivot", "rows")
+    held_together = matched(sharp, _store.table(heads, "heads"), "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     more = _store.table(_clustered(several, components(held_together), percent), "confirmed")
     labels = components(links.union(more))
 
-    found = held.distinct().join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # the smallest doc_id of each component, which may have many classes
+    linked_ = _store.table(labels.join(classes.select(F.col("node").alias("id"), "rep"), "id"), "linked")
+    least = _store.table(linked_.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("rows")), "least")
+    named = matched(linked_, least, "label").select(F.col("id").alias("node"), "component")
+    of_class = classes.select(*whole, "node", "rep", "rows").join(named, "node", "left").select(*whole, "rows", F.coalesce("component", "rep").alias("component_id"))
+    of_class = _store.table(of_class, "components")
+    # a class by one number: 64 bits of its sums, enough as a key if all three are compared as well
+    keyed = lambda df: df.withColumn("class", F.xxhash64(*whole))
+    mine = keyed(signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "of", *whole))
+    sums = keyed(of_class).select("class", F.col("low").alias("l"), F.col("high").alias("h"), F.col("n_shingles").alias("n"), "rows", "component_id")
+    found = matched(mine, sums, "class").where("low = l and high = h and n_shingles = n")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "of", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = found.select("doc_id", "of", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string; more columns are not read).
+
+    Null and empty texts and texts without words have no shingles, link with nothing and are kept. Equal texts are linked
+    whatever their length. Every row comes out once, by the links of its own text, also where rows share a doc_id;
+    ``component_id`` is the smallest doc_id of the rows that links reach. Rows of null doc_id link with nothing and come out with
+    null component_id and kept true. An empty table gives an empty result.
+    """
+    return _components(docs, width, percent, rows, bands).drop("of")
+
+
+def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that minhash_components() keeps, with all their columns."""
+    _id, _of = fresh(docs, "id"), fresh(docs, "of")
+    gone = _components(docs, width, percent).where("not kept").select(F.col("doc_id").alias(_id), F.col("of").alias(_of)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(_id)) & (F.xxhash64(docs["text"]) == F.col(_of)), "left_anti")

@@ -55,29 +55,49 @@ def components(ids, links):
 
 
 def brute_minhash(rows, width, percent):
-    sets = {}
+    """(id, size, component, kept) of each row; links are of rows, and rows without id have none."""
+    sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-    ids = list(sets)
-    links = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    c = components(ids, links)
-    return {i: (len(sets[i]), c[i], c[i] == i) for i in ids}
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    own = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    links = [(a, b) for x, a in enumerate(own) for b in own[x + 1 :] if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    c = components(range(len(rows)), links)
+    least = {}
+    for k in own:
+        least[c[k]] = min(least.get(c[k], rows[k][0]), rows[k][0])
+    ids = [least.get(c[k], i) for k, (i, _) in enumerate(rows)]
+    return sorted(((i, len(sets[k]), ids[k], i is None or ids[k] == i) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def minhash_rows(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect()), key=str)
 
 
 def test_minhash(spark, tmp_path):
     rows = corpus()
     folder = saved(spark, tmp_path, documents=docs(spark, rows).repartition(3))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op6_minhash(spark, folder).collect()}
-    assert got == brute_minhash(rows, 4, 80)
+    assert minhash_rows(queries.op6_minhash(spark, folder)) == brute_minhash(rows, 4, 80)
+
+
+def test_minhash_of_repeated_and_null_ids(spark):
+    """Different texts under one id, and rows without an id: every row by the links of its own text, and no row twice."""
+    a, b, c = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x"
+    probe = [(1, a), (5, a), (5, b), (7, c)]
+    assert minhash_rows(minhash.minhash_components(docs(spark, probe), 4)) == [(1, 5, 1, True), (5, 5, 1, False), (5, 5, 5, True), (7, 5, 7, True)]
+    rows = [(None if i % 7 == 0 else i // 9, t) for i, t in corpus(6)] + [(9, a), (9, a), (9, b), (None, a), (2, b), (2, b + " y")]
+    d = docs(spark, rows).repartition(3)
+    assert minhash_rows(minhash.minhash_components(d, 4)) == brute_minhash(rows, 4, 80)
+    stay = minhash.without_duplicates(d, 4)
+    kept = [r for r in brute_minhash(rows, 4, 80) if r[3]]
+    assert stay.columns == d.columns and sorted((str(r.doc_id) for r in stay.collect())) == sorted(str(r[0]) for r in kept)
 
 
 def test_minhash_blocks(spark, monkeypatch):
     """The same where clusters are split into many blocks."""
     monkeypatch.setattr(minhash, "BLOCK_SETS", 7)
     rows = corpus(2)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.minhash_components(docs(spark, rows), 4).collect()}
-    assert got == brute_minhash(rows, 4, 80)
+    assert minhash_rows(minhash.minhash_components(docs(spark, rows), 4)) == brute_minhash(rows, 4, 80)
 
 
 def test_minhash_repeats_and_empty(spark):
