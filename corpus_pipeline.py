@@ -20,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document of the smallest doc_id stays."""
-    gone = minhash.minhash_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates (five words, 0.8) the document of the smallest doc_id stays; rows without doc_id stay."""
+    return minhash.without_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _store.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        began = _store.mark()
         docs = _store.table(stage(spark, docs, sf_dir), name)
+        _store.forget(began)
     return docs
