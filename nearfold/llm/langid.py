@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import cutoff
 from ._words import LOWER, blocks
 
 WINDOW, HIDDEN = 64, 8
@@ -175,15 +176,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
-    """A network from at most about ``rows`` documents of each language whose crc32(doc_id) mod 3 is not 1, chosen by hash. None without any."""
+    """A network from about ``rows`` documents at most, as many of each language, whose crc32(doc_id) mod 3 is not 1, chosen by a
+    hash of doc_id and text; equal rows count once. None without any."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and length(text) > 0").where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0)) != 1)
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, int(min(1.0, rows / len(counts) / v) * (1 << 20)))))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share[F.col("lang")])
+    most = F.create_map(*(F.lit(x) for k, v in counts.items() for x in (k, cutoff(max(1, rows // len(counts)), v))))
+    chosen = known.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(3)), 1)).where(F.col("hash") <= most[F.col("lang")])
+    chosen = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
     found = chosen.select("lang", "text").mapInArrow(_cut, "lang string, window binary, size int").toArrow()
     langs = sorted(counts)
+    if unseen := set(langs) - set(found.column("lang").to_pylist()):
+        raise ValueError(f"no sample of languages {sorted(unseen)}")
     windows = np.frombuffer(b"".join(found.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
     label = np.array([langs.index(x) for x in found.column("lang").to_pylist()], int)
     if not len(windows):

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LOWER, NOT_ALNUM, _hash, blocks, words
+from ._sample import cutoff
+from ._words import BLOCK, LOWER, NOT_ALNUM, _hash, blocks, words
 
 #: Labelled rows that are learned from at most, and terms of the lexicon.
 SAMPLE_ROWS, TERMS = 12_000, 1_024
@@ -52,13 +53,13 @@ def cells(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     whole = (hashes & mask).astype(np.int64)
     begin = np.full(len(starts), -1, np.int64)
     long_ = np.flatnonzero(ends - starts > PREFIX)
-    step = 1 << 16
-    low = LOWER[buf]
-    for k in range(0, len(long_), step):
-        part = long_[k : k + step]
-        a = starts[part[0]]
-        piece = low[a : starts[part[-1]] + PREFIX]
-        begin[part] = (_hash(piece, starts[part] - a, starts[part] - a + PREFIX) & mask).astype(np.int64) + 2**BITS
+    low, at, k = LOWER[buf], starts[long_], 0
+    while k < len(long_):
+        stop = max(k + 1, int(np.searchsorted(at, at[k] + BLOCK, "right")))
+        part, a = at[k:stop], at[k]
+        piece = low[a : part[-1] + PREFIX]
+        begin[long_[k:stop]] = (_hash(piece, part - a, part - a + PREFIX) & mask).astype(np.int64) + 2**BITS
+        k = stop
     return whole, begin, first
 
 
@@ -71,14 +72,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> pa.Table:
-    """(toxic, cells, n) of at most about ``rows`` labelled documents whose crc32(doc_id) mod 4 is not 2, chosen by hash."""
+    """(toxic, cells, n) of about ``rows`` labelled documents at most whose crc32(doc_id) mod 4 is not 2, chosen by hash. Of texts
+    that share a doc_id the smallest counts, of labels the largest."""
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 1) <= cutoff(rows, known.count()))
     # at most about `rows` pairs of numbers
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return picked.mapInArrow(_gather, "toxic int, cells array<int>, n long").toArrow()
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return picked.select("toxic", "text").mapInArrow(_gather, "toxic int, cells array<int>, n long").toArrow()
 
 
 def lexicon(y: np.ndarray, owner: np.ndarray, cell: np.ndarray, terms: int) -> np.ndarray:
