@@ -1,10 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's rate is its target over its size. Every document is taken floor(rate) times for certain; the rest of the rate is
-the inclusion probability p of one more copy. Pareto sampling (Rosen) ranks the documents of a source by
-(u / (1 - u)) / (p / (1 - p)), u from a hash of the document, and takes the smallest until the words that the certain
-copies leave open are filled: a sample of fixed size. Where the source's rest ends within a document, the end that is nearer
-counts. Ranks are found by sums over 2**LEVEL ranges of the order, twice, so that no task holds a source.
+1. A source's words are taken at its target over its size on average, longer documents more often: the rate of a document
+   is the source's level times LEAD + the bits of its size, at most MOST. The level is such that rates times sizes make the
+   target.
+2. Every document is taken floor(rate) times for certain; the rest of its rate is the inclusion probability p of one more copy.
+3. Pareto sampling (Rosen) ranks the documents of a source by (u / (1 - u)) / (p / (1 - p)), u from a hash of the document, and
+   takes the smallest until the words that the certain copies leave open are filled: a sample of fixed size in words, with
+   the inclusion probabilities asked for, whatever their differences. Where the source's rest ends within a document, the end
+   that is nearer counts. Ranks are found by sums over 2**LEVEL ranges of the order, twice, so that no task holds a source.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from . import _store
 #: Weights of the sources by code point, repeating, and the most that a document is repeated.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 LEVEL = 12
+#: What the bits of a size are added to: a document of 2**10 words weighs (LEAD + 10) / LEAD times one of a single word.
+LEAD = 4
 #: ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,24 +60,47 @@ def _ranged(docs: DataFrame, left: DataFrame, depth: int) -> DataFrame:
     return _store.table(at.where("open > 0").groupBy("source").agg(F.max_by("part", "part").alias("prefix"), F.max_by("open", "part").alias("open")), "range")
 
 
+def rates(classes: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, bits, words, rate, target) from (source, bits, words): ``words`` of documents whose sizes have ``bits`` bits
+    after the first; and from (source, source_size, target). Rates times words make the source's target.
+
+    That is least(most, level * weight) for the level that uses the target up: from the heaviest downwards, classes are at most
+    as long as the level that the rest would get lifts them over it.
+    """
+    c = classes.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    c = c.withColumn("weight", F.col("bits") + float(LEAD)).withColumn("load", F.col("weight") * F.col("words"))
+    of = Window.partitionBy("source")
+    above = of.orderBy(F.desc("bits")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.col("target") - F.lit(most) * F.coalesce(F.sum("words").over(above), F.lit(0))
+    free = F.sum("load").over(of) - F.coalesce(F.sum("load").over(above), F.lit(0.0))
+    c = c.withColumn("level", open_ / free)
+    level = F.max(F.when(F.col("level") * F.col("weight") <= F.lit(most), F.struct("bits", "level"))).over(of)["level"]
+    rate = F.coalesce(F.least(F.lit(most), level * F.col("weight")), F.lit(most))
+    return c.select("source", "bits", "words", rate.alias("rate"), "target")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of ``docs`` (doc_id, text, source; others not read).
 
-    ``size``: words of the text, 0 if null. ``taken``: size times copies. Null is a source of its own, the last; a source
-    without words takes nothing. Copies never exceed ``most`` rounded down, or up where the rate has a rest. The order
-    follows from doc_id alone, so every run gives the same rows; of rows equal in doc_id, source and size, any may be the one
-    that is taken. An empty table gives an empty result.
+    ``size``: words of the text, 0 if null. ``taken``: size times copies. Null is a source of its own, the last; documents
+    without words have no copies. Copies never exceed ``most`` rounded down, or up where the rate has a rest. The order
+    follows from doc_id alone, or the text where that is null, so every run gives the same rows; of rows equal in both, source and
+    size, any may be the one that is taken. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    number = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    number = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.md5("text"), F.lit("")))
     hashed = F.conv(F.substring(F.md5(number), 1, 13), 16, 10).cast("long")  # 52 bits
     base = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hashed.alias("hash"))
-    base = _store.table(base, "sizes")
-    goals = _store.table(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goals = goals.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
-    ranked = _rank(base.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    left = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("open")).where("open > 0")
+    base = _store.table(base.withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1)), "sizes")
+    classes = _store.table(base.groupBy("source", "bits").agg(F.sum("size").alias("words")), "classes")
+    goals = _store.table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "targets")
+    classes = classes.where("bits is not null")
+    shares = rates(classes, goals, most).withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("long"))
+    shares = _store.table(shares.withColumn("p", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))), "rates")
+    mine = shares.select(F.col("source").alias("s"), F.col("bits").alias("b"), "whole", "p")
+    joined = base.where("size > 0").join(mine, F.col("source").eqNullSafe(F.col("s")) & (F.col("bits") == F.col("b"))).drop("s", "b")
+    ranked = _rank(joined.where("p > 0"))
+    left = shares.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("open")).where("open > 0")
     for depth in (0, 1):
         left = _ranged(ranked, left, depth)
     cut = left.select(F.col("source").alias("c"), "prefix", "open")
@@ -82,12 +110,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = at.where("part = prefix").withColumn("more", (F.col("open") - before > 0) & (F.col("open") - before >= F.col("size") / 2))
     rest = at.where("prefix is null or part <> prefix").withColumn("more", F.coalesce(F.col("part") < F.col("prefix"), F.lit(False)))
-    both = rest.unionByName(edge).withColumn("copies", F.col("whole") + F.col("more").cast("long"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    drawn = rest.unionByName(edge).select("doc_id", "source", "size", (F.col("whole") + F.col("more").cast("long")).alias("copies"))
+    certain = joined.where("p = 0").select("doc_id", "source", "size", F.col("whole").alias("copies"))
+    none = base.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"))
+    out = drawn.unionByName(certain).unionByName(none).join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def _rank(joined: DataFrame) -> DataFrame:
     """Adds ``order``: the Pareto rank as a number of 63 bits, smallest first."""
     u = (F.col("hash").cast("double") + 0.5) / float(1 << 52)
-    q = (u / (1 - u)) / F.greatest(F.col("p") / (1 - F.col("p")), F.lit(1e-12))
+    q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     return joined.withColumn("order", F.floor(F.least(q / (1 + q), F.lit(1 - 2.0**-53)) * float(1 << 53)).cast("long") * 1024)

@@ -107,12 +107,12 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 from docs d join least l on l.id = d.doc_id left join size using (doc_id)
 """
 
-#: Whole copies, then documents in the order of a hash (the Pareto order of a source whose documents are all as likely) as
-#: long as half of the document fits the source's rest.
+#: Targets of the sources, rates of the sizes' classes, whole copies, then documents in the Pareto order as long as half of the
+#: document fits the source's rest.
 OP4_SQL = r"""
 with docs as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    cast('0x' || substr(md5('17|' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as u from documents
+    cast('0x' || substr(md5('17|' || coalesce(cast(doc_id as varchar), md5(text), '')), 1, 13) as bigint) as hash from documents
 ), sources as (select source, cast(sum(size) as bigint) as source_size from docs group by source),
 weighed as (select *, [5.0, 2.0, 1.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, source_size * 3.0::double as cap from sources),
 levels as (
@@ -121,14 +121,33 @@ levels as (
   window o as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)
 ), water as (select level from levels where level * weight <= cap order by nth limit 1),
 goals as (select source, source_size, least(cap, coalesce((select level from water), 0) * weight) as target from levels),
-rates as (select *, case when source_size > 0 then target / source_size else 0 end as rate from goals),
+sized as (select *, length(bin(size)) - 1 as bits from docs where size > 0),
+classes as (
+  select c.source, bits, words, bits + 4.0::double as weight, (bits + 4.0::double) * words as load, target
+  from (select source, bits, cast(sum(size) as bigint) as words from sized group by 1, 2) c join goals g on g.source is not distinct from c.source
+), lifted as (
+  select *, (target - 3.0::double * coalesce(sum(words) over a, 0)) / (sum(load) over (partition by source) - coalesce(sum(load) over a, 0)) as level
+  from classes window a as (partition by source order by bits desc rows between unbounded preceding and 1 preceding)
+), found as (select source, max_by(level, bits) as level from lifted where level * weight <= 3.0::double group by source),
+rates as (
+  select l.source, bits, words, target, coalesce(least(3.0::double, f.level * weight), 3.0::double) as rate
+  from lifted l left join found f on f.source is not distinct from l.source
+), shares as (select *, cast(floor(rate + 1e-9) as bigint) as whole, greatest(rate - floor(rate + 1e-9), 0.0::double) as p from rates),
+opened as (select source, first(target) - sum(whole * words) as open from shares group by source),
+odds as (
+  select d.doc_id, d.source, d.size, s.whole, s.p, o.open, ((hash + 0.5::double) / 4503599627370496) as u
+  from sized d join shares s on s.source is not distinct from d.source and s.bits = d.bits join opened o on o.source is not distinct from d.source
+), pareto as (select *, (u / (1 - u)) / (p / (1 - p)) as q from odds where p > 0),
 ranked as (
-  select d.doc_id, d.size, r.source_size, r.target, cast(floor(rate + 1e-12) as bigint) as whole,
-    target - floor(rate + 1e-12) * source_size as open, coalesce(sum(d.size) over (partition by d.source order by u, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-  from docs d join rates r on r.source is not distinct from d.source
+  select *, coalesce(sum(size) over (partition by source order by floor(least(q / (1 + q), 1 - power(2.0::double, -53)) * 9007199254740992), doc_id, size
+    rows between unbounded preceding and 1 preceding), 0) as before from pareto
+), copied as (
+  select doc_id, source, size, whole + case when open > 0 and open - before > 0 and open - before >= size / 2 then 1 else 0 end as copies from ranked
+  union all select doc_id, source, size, whole from odds where p = 0
+  union all select doc_id, source, size, 0 from docs where size = 0
 )
-select doc_id, size, source_size, round(target, 6) as target, size * (whole + case when open > 0 and open - before > 0 and open - before >= size / 2 then 1 else 0 end) as taken,
-  whole + case when open > 0 and open - before > 0 and open - before >= size / 2 then 1 else 0 end as copies from ranked
+select c.doc_id, c.size, g.source_size, round(g.target, 6) as target, c.size * copies as taken, copies
+from copied c join goals g on g.source is not distinct from c.source
 """
 
 #: Every window of 20 words by its words; those with an earlier place take their words away.

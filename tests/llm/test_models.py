@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearfold.llm import langid, minhash, mixing, queries, toxicity
+from nearfold.llm import _sample, langid, minhash, mixing, queries, toxicity
 
 from .fixtures import docs, saved
 
@@ -135,12 +136,66 @@ def test_mixing_empty_and_repeats(spark):
     assert mixing.mix(docs(spark, [(1, "a b"), (1, "a b"), (None, None)])).agg(F.sum("taken")).first()[0] == 4
 
 
-def test_inclusion_is_even(spark):
-    """Over seeds, documents are taken by the source's rate, whatever their size."""
-    d = docs(spark, [(k, "w " * (1 + k % 9), "en", "ab"[k % 2]) for k in range(400)]).cache()
-    takes = np.mean([[x.copies for x in mixing.mix(d, seed=s).where("target < source_size").orderBy("doc_id").collect()] for s in range(12)], axis=0)
-    rate = [x.target / x.source_size for x in mixing.mix(d).where("target < source_size").collect()][0]
-    assert abs(takes.mean() - rate) < 0.03 and takes.std() < 3 * (rate * (1 - rate) / 12) ** 0.5
+def plain_rates(sizes, target):
+    """Rate of each number of bits: weight times the level that makes the target, found by halving."""
+    words = {}
+    for n in sizes:
+        if n:
+            words[n.bit_length() - 1] = words.get(n.bit_length() - 1, 0) + n
+    lo, hi = 0.0, 10.0
+    for _ in range(200):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if sum(min(3, level * (4 + b)) * w for b, w in words.items()) < target else (lo, level)
+    return {b: round(min(3, hi * (4 + b)), 9) for b in words}
+
+
+def test_inclusion_is_by_size(spark):
+    """Over seeds, documents are taken as often as the rate of their size says: longer ones more often, none above 3 times."""
+    r = np.random.default_rng(4)
+    sizes = [int(2 ** r.uniform(0, 9)) for _ in range(900)]
+    d = docs(spark, [(k, "w " * n, "en", "abc"[min(2, k % 6)]) for k, n in enumerate(sizes)]).cache()
+    runs = [sorted(mixing.mix(d, seed=s).collect()) for s in range(20)]
+    target = {x.doc_id: x.target for x in runs[0]}
+    for part in range(3):
+        own = [k for k in range(900) if min(2, k % 6) == part]
+        rate = plain_rates([sizes[k] for k in own], target[own[0]])
+        assert len(set(rate.values())) > 3 or min(rate.values()) == 3
+        for bits, want in rate.items():
+            group = [k for k in own if sizes[k].bit_length() - 1 == bits]
+            copies = np.array([[run[k].copies for k in group] for run in runs])
+            p = want % 1
+            assert set(np.unique(copies)) <= {int(want), min(3, int(want) + 1)}
+            assert abs(copies.mean() - want) < 0.02 + 4 * (p * (1 - p) / copies.size) ** 0.5, (part, bits)
+        for run in runs:
+            assert abs(sum(run[k].taken for k in own) - target[own[0]]) <= max(sizes) / 2
+
+
+def test_mixing_sql_gives_the_same_rows(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows = [(k if k % 9 else None, " ".join(f"w{k}" for _ in range(int(2 ** r.uniform(0, 8)) - 1)), "en", [None, "a", "b", "c", "d"][int(r.integers(0, 5) ** 2 // 5)]) for k in range(700)]
+    rows += [(10_000, None, "en", "a"), (10_001, "", "en", "z")]
+    folder = saved(spark, tmp_path, documents=docs(spark, rows))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = queries.op4_mixing(spark, folder)
+    want = con.execute(queries.ORACLES["op4_mixing"]).fetchall()
+    assert sorted(map(tuple, got.select("doc_id", "size", "source_size", "target", "taken", "copies").collect()), key=str) == sorted(want, key=str)
+
+
+def test_samples_of_any_table():
+    """A bounded sample, never an empty one: as many of 1e12 rows as of 1e6."""
+    for count in (10**6, 10**9, 10**12, 10**18):
+        share = (_sample.cutoff(2_000, count) + 1) / 2**63
+        assert abs(share * count - 2_000) < 1
+    assert _sample.cutoff(400, 400) == _sample.cutoff(400, 3) == 2**63 - 1
+
+
+def test_samples_are_bounded_by_distinct_rows(spark):
+    """A third of all rows without an id and of one text, or of one id: they count once."""
+    rows = [(k, f"some words {k}", "en") for k in range(600)] + [(None, "the same words", "en")] * 300 + [(7, f"other words {k}", "de") for k in range(300)]
+    assert langid.fit(docs(spark, rows), rows=100) is not None
+    labels = spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    assert 350 < toxicity.sample(docs(spark, rows), labels).num_rows <= 600
 
 
 def test_pipeline(spark, tmp_path):
