@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._store import fresh
 from ._words import blocks
 
 #: Kind, pattern (on UTF-8 bytes), group of the value, least length of that group, what a text must hold
@@ -103,25 +104,42 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def masked(text: str, spans: list[dict], mask: str) -> str:
+    """``text`` with ``mask`` for its spans (start, end); of spans that overlap, for the first and then the longest."""
+    out, at = [], 0
+    for start, end in sorted((s["start"], -s["end"]) for s in spans):
+        if start >= at:
+            out += [text[at:start], mask]
+            at = -end
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, owner: str = "source", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live secret replaced by ``mask`` (and n_chars, if there, counted anew); all rows stay.
+    """``docs`` with every live secret replaced by ``mask`` (and n_chars, if there, counted anew); all rows stay, those of null
+    doc_id too, whatever their other columns are called.
 
     Of spans that overlap, the first and then the longest is replaced. Rows of null text stay as they are.
     """
-    hit = find_secrets(docs, owner).select("doc_id", "digest", F.filter("found", lambda s: s["live"]).alias("_found")).where(F.size("_found") > 0)
-    hit = _store.table(hit.groupBy("doc_id", F.col("digest").alias("_digest")).agg(F.first("_found").alias("_found")), "live")
-    hit = hit.withColumnsRenamed({"doc_id": "_id", "_digest": "_of"})
-    both = docs.withColumn("_digest", F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left")
-    ordered = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"))))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct((-s["back"]).alias("at"), F.concat(acc["out"], before, F.lit(mask)).alias("out"))).otherwise(acc)
-
-    clean = F.aggregate(ordered, empty, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean)
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(docs.columns)
+    id_, of, live = (fresh(docs, c) for c in ("id_", "of_", "live_"))
+    hit = find_secrets(docs, owner).select(F.col("doc_id").alias(id_), F.col("digest").alias(of), F.filter("found", lambda s: s["live"]).alias(live)).where(F.size(live) > 0)
+    hit = _store.table(hit.groupBy(id_, of).agg(F.first(live).alias(live)), "live")  # rows equal in both have equal spans
+    both = docs.join(hit, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(of)), "left").select(*docs.columns, live)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(c) for c in docs_columns}
+            some = np.flatnonzero(batch.column(live).is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                clean = columns["text"].to_pylist()
+                for i in some.tolist():
+                    clean[i] = masked(clean[i], batch.column(live)[i].as_py(), mask)
+                columns["text"] = pa.array(clean, columns["text"].type)
+                if "n_chars" in columns:
+                    size = columns["n_chars"].to_pylist()
+                    for i in some.tolist():
+                        size[i] = len(clean[i])
+                    columns["n_chars"] = pa.array(size, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    docs_columns = docs.columns
+    return both.mapInArrow(run, docs.schema)

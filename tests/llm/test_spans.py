@@ -159,6 +159,13 @@ def test_secrets_of_rows_without_id_are_masked(spark):
     assert sorted(str(r.text) for r in secrets.redact(d).collect()) == ["None", "a [SECRET] b", "a [SECRET] b", "nothing"]
 
 
+def test_redaction_with_clashing_names_and_many_secrets(spark):
+    d = spark.createDataFrame([("1", "a", 3), (None, "x", 4)], "_found string, source string, of_ int").selectExpr("_found as doc_id", "source", "of_", "_found", "1 as id_", "2 as live_", "3 as _digest", "4 as digest", "concat('k ghp_Zq7Lk2Vw9Xb4Nc8Rt5Yp1Md6Hs3Jf0Ga8Eu2 ', source) as text", "cast(9 as smallint) as n_chars")
+    got = secrets.redact(d)
+    assert got.columns == d.columns and sorted((r.text, r.n_chars, r._found) for r in got.collect()) == [("k [SECRET] a", 12, "1"), ("k [SECRET] x", 12, None)]
+    assert secrets.masked("abcdef", [{"start": 1, "end": 3}, {"start": 1, "end": 2}, {"start": 2, "end": 5}, {"start": 5, "end": 6}], "-") == "a-de-"
+
+
 def test_chains_reach_back_over_many_others():
     s = object.__new__(license_scan.Scanner)
     s.sizes = [100]
