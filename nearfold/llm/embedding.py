@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._links import components
+from ._links import components, matched
 
 ROTATIONS = 4
 #: Bits of a table at least, chance to miss a pair at the threshold, standard errors of a bound.
@@ -93,28 +93,32 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Rows are linked if their labels are equal and not null and their cosine in double precision is at least ``threshold``.
     Vectors that are null, empty, zero or hold null or non-finite parts, and rows of null label, have no links and are their own
     component. Vectors of different lengths are not linked. A vec_id that occurs twice counts as two rows that are linked if
-    the vectors are; an empty table gives an empty result; other columns are not read.
+    the vectors are. Rows of null vec_id link as others do; they are never the smallest, and are kept only where no row of their
+    component has an id (component_id is then null). An empty table gives an empty result; other columns are not read.
     """
     named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     named = named.withColumn("sound", F.coalesce(F.col("label").isNotNull() & sound, F.lit(False)))
-    classes = named.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = _store.table(classes.withColumn("dim", F.size("v")), "vectors")
+    classes = named.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # classes go by a number of their own, as written: their smallest vec_id may be null, or that of another class
+    classes = _store.table(classes.withColumn("dim", F.size("v")).withColumn("id", F.monotonically_increasing_id()), "vectors")
     links, counts = None, None
     dims = [r["dim"] for r in classes.select("dim").distinct().collect()]
     for dim in dims:
         a, b = _linked(classes.where(F.col("dim") == dim), dim, threshold)
         links, counts = (a, b) if links is None else (links.union(a), counts.union(b))
-    held = named.where("sound").join(classes.select("label", "v", "id", "copies"), ["label", "v"]).select("vec_id", "id", "copies")
+    held = named.where("sound").join(classes.select("label", "v", "id", "rep", "copies"), ["label", "v"]).select("vec_id", "id", "rep", "copies")
     if links is not None:
-        labels = components(links).withColumnRenamed("id", "of")
+        linked = _store.table(components(links).join(classes.select("id", "rep"), "id"), "linked")
+        least = _store.table(linked.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("rows")), "least")
+        labels = matched(linked, least, "label").select(F.col("id").alias("of"), "component")
         total = counts.groupBy(F.col("id").alias("c")).agg(F.sum("n").alias("n"))
         held = held.join(labels, F.col("id") == F.col("of"), "left").join(total, F.col("id") == F.col("c"), "left")
-        held = held.select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("label", "id").alias("component_id"))
+        held = held.select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     else:
-        held = held.select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("id").alias("component_id"))
+        held = held.select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
     alone = named.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return held.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return held.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _linked(classes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:

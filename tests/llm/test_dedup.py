@@ -229,6 +229,15 @@ def test_embeddings(spark, tmp_path, monkeypatch):
     assert got == {i: (len(links[i]), c[i], c[i] == i) for i in c} and sum(map(len, links.values())) > 500
 
 
+def test_embeddings_without_id(spark):
+    """Rows of null vec_id link as others do, also as the first of their class."""
+    v, w, u = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [-1.0, 5.0, 0.0]
+    rows = [(3, v, 1), (None, w, 1), (None, v, 1), (9, w, 1), (None, u, 1), (None, u, 2), (4, u, 2), (4, v, 2), (None, None, 1)]
+    got = embedding.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(3, 3, 3, True), (None, 3, 3, False), (None, 3, 3, False), (9, 3, 3, False), (None, 0, None, True), (None, 1, 4, False), (4, 1, 4, True), (4, 0, 4, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_estimate_is_unbiased_and_bounded():
     r = np.random.default_rng(5)
     x = embedding.unit(r.standard_normal((300, 64)))
