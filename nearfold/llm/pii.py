@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Characters before a span that are searched for context words.
 NEAR = 48
 LEAST_SCORE = 0.5
+#: Matches of a text that are gathered in one list.
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -73,22 +75,41 @@ def _valid(name: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _runs(array: Column) -> Column:
+    """``array`` cut into arrays of RUN; it is worked out once, as a variable of the outer function."""
+    last = lambda f: F.floor((F.size(f) - 1) / RUN).cast("int")
+    return F.get(F.transform(F.array(array), lambda f: F.transform(F.sequence(F.lit(0), last(f)), lambda b: F.slice(f, b * RUN + 1, RUN))), F.lit(0))
+
+
 def _spans(k: int, kind: Kind, text: Column, matches: Column) -> Column:
-    """array<struct<start, kind, end, score>> of the valid matches, by start."""
+    """array<struct<start, kind, end, score>> of the valid matches, by start.
+
+    Places are sums over the pieces so far, and the NEAR characters before a match are carried along, so that no text is walked
+    again for a match. A list grows by copying: matches are gathered in lists of RUN, and those in a list of lists.
+    """
     found = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), matches.alias("match"))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string,before:string>>)")
+    nothing = F.expr("cast(array() as array<array<struct<start:int,end:int,match:string,before:string>>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEAR))
+        tail = F.right(F.concat(acc["tail"], x["gap"], F.coalesce(x["match"], F.lit(""))), F.lit(NEAR))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), before.alias("before")))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], one).alias("out"))
+
+    def run(acc: Column, part: Column) -> Column:
+        here = F.aggregate(part, F.struct(acc["last"]["at"].alias("at"), acc["last"]["tail"].alias("tail"), none.alias("out")), step)
+        return F.struct(here.alias("last"), F.concat(acc["done"], F.array(acc["last"]["out"])).alias("done"))
 
-    placed = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    start = F.struct(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")).alias("last"), nothing.alias("done"))
+    placed = F.aggregate(_runs(found), start, run, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]["out"]))))
     valid = F.filter(placed, lambda s: s["match"].isNotNull() & _valid(kind.name, s["match"]))
 
     def scored(s: Column) -> Column:
-        before = F.lower(F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
-        score = F.lit(kind.prior) + F.when(before.rlike(rf"(?:^|[^a-z])(?:{kind.context})"), 0.25).otherwise(0.0)
+        near = F.lower(s["before"]).rlike(rf"(?:^|[^a-z])(?:{kind.context})")
+        score = F.lit(kind.prior) + F.when(near, 0.25).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     out = F.transform(valid, scored)
@@ -108,7 +129,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     raw = raw.select("doc_id", "text", *(F.when(F.contains("text", F.lit(k.holds)), some(k)).alias(f"m_{k.name}") if k.holds else some(k).alias(f"m_{k.name}") for k in KINDS))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
     each = [F.when(F.size(f"m_{k.name}") > 0, _spans(i, k, F.col("text"), F.col(f"m_{k.name}"))).otherwise(none) for i, k in enumerate(KINDS)]
-    return raw.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
+    return raw.select("doc_id", F.sort_array(F.concat(*each)).alias("found"))
 
 
 def listed(found: Column) -> Column:

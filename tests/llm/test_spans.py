@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -105,6 +106,22 @@ def test_pii_adds_confirmed_kinds(spark):
     assert [(k, text[a:b]) for k, a, b in spans if k in ("iban", "ssn")] == [("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("ssn", "123-45-6780")]
 
 
+def test_pii_of_a_text_with_many_matches(spark, monkeypatch):
+    """Places and context do not depend on how matches are gathered, and the cost grows with the text, not with its square."""
+    text = " ".join(f"{'contact ' * (k % 3 == 0)}é{k}@mail.example.com" for k in range(32_000))
+    d = docs(spark, [(1, text)]).cache()
+    d.count()
+    began = time.monotonic()
+    got = pii.find_pii(d).first().found
+    took = time.monotonic() - began
+    want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end) for s in got] == want and took < 15
+    few = docs(spark, [(1, text[:3_000]), (2, None)])
+    plain = [list(r.found) for r in pii.find_pii(few).collect()]
+    monkeypatch.setattr(pii, "RUN", 3)
+    assert [list(r.found) for r in pii.find_pii(few).collect()] == plain
+
+
 def test_licenses(spark, folders):
     for folder in folders:
         got = sorted([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in queries.op2_licenses(spark, folder).collect()], key=key)
