@@ -4,9 +4,10 @@
    the similarity asked for are found exactly, the rest passed by.
 2. In such stretches, windows as long as the items of a size class get fingerprints: signs of the weighted sums of their
    shingles' random signs.
-3. Items are indexed by BLOCKS blocks of their fingerprints. Of two fingerprints within RADIUS bits, some block is within
-   RADIUS // BLOCKS bits; each block's neighbours up to there are listed, so no item within the radius is missed.
-4. Candidates are confirmed by the weighted Jaccard similarity of shingle sets, at the best start near the window.
+3. Items are indexed by BLOCKS blocks of their fingerprints, each with a radius of its own; the radii and one for each block
+   but the first sum up to RADIUS. Two fingerprints that differ by more in every block differ by more than RADIUS in all,
+   so blocks within their radius give every item within RADIUS (Qin et al., general pigeonhole principle).
+4. Candidates are confirmed by the weighted Jaccard similarity of shingle sets, at every start near the window.
 
 A shingle of n items of N weighs log(1 + N / n), one of no item as much as one of a single item.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 from math import ceil, log
 
@@ -24,14 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._store import fresh
 from ._words import LOWER, NOT_ALNUM, U64, blocks, grams, mix, words
 
 SHINGLE, SIMILAR = 5, 0.8
-BITS, BLOCKS, RADIUS = 128, 16, 44
+BITS, BLOCKS, RADIUS = 144, 8, 32
+#: Bits that a block of an item may differ by: the first blocks by one more, so that they sum up to RADIUS - BLOCKS + 1.
+RADII = tuple((RADIUS - BLOCKS + 1) // BLOCKS + (b < (RADIUS - BLOCKS + 1) % BLOCKS) for b in range(BLOCKS))
 #: Ratio of the sizes of a class; windows start every 1 / STEPS of their size.
-CLASS, STEPS = 1.12, 8
+CLASS, STEPS = 1.04, 32
 #: Characters of the items that are held against the documents in one pass.
 SLICE_CHARS = 32_000_000
+#: What sums of weights may be off by: a similarity of SIMILAR but for that counts.
+ROUNDING = 1e-9
 KIND = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
 KIND_SQL = "array<struct<item:long,similarity:double>>"
 ITEMS = f"items {KIND_SQL}"
@@ -39,8 +46,49 @@ ITEMS = f"items {KIND_SQL}"
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """(n, BITS) of -1 and 1."""
-    wide = np.stack([mix(hashes + U64(k + 1)) for k in range(BITS // 64)], axis=1)
-    return np.unpackbits(wide.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+    wide = np.stack([mix(hashes + U64(k + 1)) for k in range(-(-BITS // 64))], axis=1)
+    return np.unpackbits(wide.view(np.uint8), axis=1, count=BITS).astype(np.int8) * 2 - 1
+
+
+def _code(sums: np.ndarray) -> np.ndarray:
+    """Blocks (..., BLOCKS) of the signs of ``sums`` (..., BITS), as numbers."""
+    wide = BITS // BLOCKS
+    return (sums.reshape(*sums.shape[:-1], BLOCKS, wide) > 0) @ (1 << np.arange(wide, dtype=np.uint32))
+
+
+@cache
+def _flips(wide: int, bits: int) -> np.ndarray:
+    """All numbers of ``wide`` bits of which at most ``bits`` are set."""
+    return np.array([sum(1 << p for p in places) for n in range(bits + 1) for places in combinations(range(wide), n)], np.uint32)
+
+
+class Blocks:
+    """An index of fingerprints ``codes`` (n, BLOCKS)."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.tables = []
+        for b in range(BLOCKS):
+            values, place = np.unique(codes[:, b], return_inverse=True)
+            self.tables.append((values, np.argsort(place, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])))
+
+    def candidates(self, code: np.ndarray) -> np.ndarray:
+        """Fingerprints of which some block is within its radius of that block of ``code``, in order."""
+        found = []
+        for (values, order, start), radius, own in zip(self.tables, RADII, code):
+            near = _flips(BITS // BLOCKS, radius)
+            if len(near) < len(values):  # the neighbours are looked up
+                at = np.minimum(np.searchsorted(values, near ^ own), len(values) - 1)
+                hit = np.unique(at[values[at] == near ^ own])
+            else:  # the same by comparing all values, which are fewer
+                hit = np.flatnonzero(np.bitwise_count(values ^ own) <= radius)
+            found += [order[start[v] : start[v + 1]] for v in hit.tolist()]
+        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+
+    def within(self, code: np.ndarray) -> np.ndarray:
+        """Fingerprints within RADIUS bits of ``code``: all of them."""
+        near = self.candidates(code)
+        return near[np.bitwise_count(self.codes[near] ^ code).sum(axis=1) <= RADIUS]
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -74,22 +122,13 @@ class Index:
         self.most = log(1 + max(1, number))
         self.weight = np.log(1 + number / np.maximum(1, holders))
         self.total = np.array([self.weigh(s).sum() for s in self.sets])
-        codes = np.array([self.code(_signs(s), self.weigh(s)) for s in self.sets], np.uint8).reshape(len(self.sets), BITS // 8)
-        self.codes = codes
-        self.classes: dict[int, tuple[float, list[dict[int, np.ndarray]]]] = {}
+        sums = [self.weigh(x) @ _signs(x) for x in self.sets]
+        codes = _code(np.array(sums).reshape(len(sums), BITS)).astype(np.uint32)
         by: dict[int, list[int]] = defaultdict(list)
         for k, n in enumerate(self.sizes):
             by[ceil(log(n) / log(CLASS))].append(k)
-        for members in by.values():
-            size = max(self.sizes[k] for k in members)
-            tables = []
-            for b in range(BLOCKS):
-                near: dict[int, list[int]] = defaultdict(list)
-                for k in members:
-                    for flip in _flips(RADIUS // BLOCKS):
-                        near[int(codes[k, b]) ^ flip].append(k)
-                tables.append({value: np.array(found) for value, found in near.items()})
-            self.classes[size] = (min(self.total[k] for k in members), tables)
+        #: Of each size: the least weight of its items, their numbers and their fingerprints.
+        self.classes = {max(self.sizes[k] for k in of): (min(self.total[k] for k in of), np.array(of), Blocks(codes[of])) for of in by.values()}
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         at, hit = _find(self.counted, hashes)
@@ -98,10 +137,6 @@ class Index:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _find(self.known, hashes)
 
-    @staticmethod
-    def code(signs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return np.packbits(weights @ signs > 0)
-
     def similarity(self, k: int, window: np.ndarray) -> float:
         other = np.unique(window)
         common = self.weigh(np.intersect1d(self.sets[k], other, assume_unique=True)).sum()
@@ -114,6 +149,7 @@ class Index:
         if not len(where):
             return {}
         found: dict[int, float] = {}
+        tried: set[tuple[int, int]] = set()
         longest = max(self.classes)
         # stretches of hits that a window could hold together
         for part in np.split(where, np.flatnonzero(np.diff(where) > longest) + 1):
@@ -122,34 +158,26 @@ class Index:
             weights, hits = self.weigh(piece), hit[lo:hi]
             got = np.concatenate([[0], np.cumsum(weights * hits)])
             signs = None
-            for size, (least, tables) in self.classes.items():
+            for size, (least, items, index) in self.classes.items():
                 n, step = size - self.shingle + 1, max(1, size // STEPS)
                 # starts a step apart over the whole stretch, and its end: a window is half a step from one at most
                 starts = np.unique(np.append(np.arange(0, max(1, len(piece) - n + 1), step), max(0, len(piece) - n)))
                 # what an item's window nearby can have in common, against what its set weighs at least
                 a, b = np.maximum(0, starts - step), np.minimum(len(piece), starts + n + step)
-                starts = starts[got[b] - got[a] >= self.similar * least - 1e-9]
+                starts = starts[got[b] - got[a] >= self.similar * least - ROUNDING]
                 if not len(starts):
                     continue
                 if signs is None:
                     signs = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(piece) * weights[:, None], axis=0)])
                 sums = signs[np.minimum(starts + n, len(piece))] - signs[starts]
-                codes = np.packbits(sums > 0, axis=1)
-                for start, code in zip(starts.tolist(), codes):
-                    near = np.unique(np.concatenate([t[v] for t, v in zip(tables, code.tolist()) if v in t] or [np.empty(0, int)]))
-                    if len(near):
-                        away = np.unpackbits(self.codes[near] ^ code, axis=1).sum(axis=1)
-                        for k in near[away <= RADIUS].tolist():
-                            if found.get(k, 0.0) < 1.0:
-                                m = self.sizes[k] - self.shingle + 1
-                                best = max(self.similarity(k, piece[s : s + m]) for s in range(max(0, start - step), min(start + step + n - m, max(0, len(piece) - m)) + 1))
-                                if best >= self.similar:
-                                    found[k] = max(best, found.get(k, 0.0))
-        return found
-
-
-def _flips(bits: int) -> list[int]:
-    return [sum(1 << p for p in places) for n in range(bits + 1) for places in combinations(range(8), n)]
+                for start, code in zip(starts.tolist(), _code(sums).astype(np.uint32)):
+                    for k in items[index.within(code)].tolist():
+                        m = self.sizes[k] - self.shingle + 1
+                        for s in range(max(0, start - step), min(start + step + n - m, max(0, len(piece) - m)) + 1):
+                            if (k, lo + s) not in tried:
+                                tried.add((k, lo + s))
+                                found[k] = max(self.similarity(k, piece[s : s + m]), found.get(k, 0.0))
+        return {k: x for k, x in found.items() if x >= self.similar - ROUNDING}
 
 
 def _searched(index: Index, column: pa.Array) -> Iterator[dict[int, float]]:
@@ -197,14 +225,16 @@ def counts(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return number, shared[order], n[order]
 
 
-def _numbered(docs: DataFrame, indexes: Iterator[Index]) -> tuple[DataFrame, DataFrame]:
-    """(docs with a number ``_row``, (_row, items) of those with leaks): a pass over the documents for each slice."""
-    kept = _store.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame, indexes: Iterator[Index]) -> tuple[str, DataFrame, DataFrame]:
+    """(name of a new column, docs with a number in it, (number, items) of those with leaks): a pass over the documents for each
+    slice."""
+    row = fresh(docs, "row")
+    kept = _store.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = None
     for index in indexes:
-        leaks = _store.table(kept.select("_row", "text").mapInArrow(_pass(index, "_row"), f"_row long, {ITEMS}").where(F.size("items") > 0), "leaks")
+        leaks = _store.table(kept.select(row, "text").mapInArrow(_pass(index, row), f"{row} long, {ITEMS}").where(F.size("items") > 0), "leaks")
         found = leaks if found is None else found.union(leaks)
-    return kept, found.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    return row, kept, found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def _pass(index: Index, key: str):
@@ -228,16 +258,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slices, every = indexes(benchmark)
     if slices == 1:
         return named.mapInArrow(_pass(next(every), "doc_id"), f"doc_id {dict(named.dtypes)['doc_id']}, {ITEMS}")
-    kept, found = _numbered(named, every)
-    return kept.select("_row", "doc_id").join(found, "_row", "left").select("doc_id", F.coalesce("items", F.array().cast(KIND_SQL)).alias("items"))
+    row, kept, found = _numbered(named, every)
+    return kept.select(row, "doc_id").join(found, row, "left").select("doc_id", F.coalesce("items", F.array().cast(KIND_SQL)).alias("items"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     slices, every = indexes(benchmark)
     if slices > 1:
-        kept, found = _numbered(docs, every)
-        return kept.join(found, "_row", "left_anti").select(docs.columns)
+        row, kept, found = _numbered(docs, every)
+        return kept.join(found, row, "left_anti").select(docs.columns)
     index = next(every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

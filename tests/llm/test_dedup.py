@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -177,27 +179,55 @@ def test_substring_repeats_and_empty(spark):
     assert substring.remove_repeats(d.limit(0)).collect() == []
 
 
-def test_leaks_against_every_window(spark, tmp_path):
-    r = random.Random(5)
-    items = [(k, " ".join(words(r, r.randrange(12, 65), 5000))) for k in range(60)] + [(900, None), (901, "too short"), (902, "")]
+def brute_leaks(rows, items, similar=0.8):
+    """Items and their similarity for each row, from strings alone: weighted Jaccard of sets of five words, at every start."""
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    sets = {i: (len(split(t)), shingles(split(t))) for i, t in items if len(split(t)) >= 5}
+    holders = Counter(x for _, s in sets.values() for x in s)
+    weigh = lambda s: sum(math.log(1 + len(sets) / max(1, holders[x])) for x in s)
+    out = []
+    for i, t in rows:
+        w, found = split(t), {}
+        own = shingles(w)
+        for item, (n, s) in sets.items():
+            if not s & own or weigh(s & own) < similar * weigh(s) - 1e-9:
+                continue
+            best = max(weigh(s & x) / weigh(s | x) for k in range(max(1, len(w) - n + 1)) for x in [shingles(w[k : k + n])])
+            if best >= similar - 1e-9:
+                found[item] = best
+        out.append((i, found))
+    return out
+
+
+def planted(seed, count):
+    """Benchmark items, and rows that hold them whole, with words changed, cut off at an end, or in part."""
+    r = random.Random(seed)
+    items = [(k, " ".join(words(r, r.choice([12, 20, 30, 64, 150]) + r.randrange(12), 5000))) for k in range(60)] + [(900, None), (901, "too short"), (902, "")]
     rows = [(0, None), (1, ""), (2, "four words are few"), (None, "x " + items[3][1])]
-    for k in range(120):
+    for k in range(count):
         item = items[r.randrange(60)][1].split()
-        share = r.choice([0, 0, 1, 2, 3])
-        inside = [] if not share else edited(r, item, r.randrange(share)) if share > 1 else item
+        kind = r.randrange(5)
+        if kind == 1:
+            item = edited(r, item, r.randrange(1, 3))
+        elif kind == 2:
+            item = item[r.randrange(len(item) // 6 + 1) :]
+        elif kind == 3:
+            item = item[: len(item) - r.randrange(len(item) // 6 + 1)] + words(r, 3, 5000)
+        inside = item if kind else []
         rows.append((10 + k, " ".join(words(r, r.randrange(80), 5000) + inside + words(r, r.randrange(80), 5000))))
+    return items, rows
+
+
+def test_leaks_against_every_window(spark, tmp_path):
+    items, rows = planted(5, 400)
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {x.doc_id: {s.item: s.similarity for s in x["items"]} for x in decontam.find_leaks(docs(spark, rows), bench).collect()}
-    index = decontam.Index([(i, t) for i, t in items if t])
-    for i, text in rows:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        every = decontam.grams(decontam.words(data, np.array([0, len(data)]), decontam.NOT_ALNUM, decontam.LOWER)[0], 5)
-        want = {}
-        for k, size in zip(range(len(index.ids)), index.sizes):
-            best = max((index.similarity(k, every[s : s + size - 4]) for s in range(max(1, len(every) - size + 5))), default=0) if len(every) else 0
-            if best >= 0.8:
-                want[index.ids[k]] = best
-        assert found[i] == pytest.approx(want), i
+    want = dict(brute_leaks(rows, items))
+    hits = sum(len(x) for x in want.values())
+    got = sum(len(set(found[i]) & set(want[i])) for i in want)
+    assert hits > 200 and got >= 0.99 * hits, (got, hits)
+    assert all(found[i][item] == pytest.approx(want[i][item]) for i in found for item in found[i])  # none that is not there
     clean = decontam.without_leaks(docs(spark, rows), bench)
     assert clean.columns == docs(spark, rows).columns and clean.count() == sum(not x for x in found.values())
     folder = saved(spark, tmp_path, documents=docs(spark, rows), benchmark=bench)
@@ -205,6 +235,28 @@ def test_leaks_against_every_window(spark, tmp_path):
     assert decontam.find_leaks(docs(spark, rows[:3]), bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_blocks_prune_and_miss_none_within_the_radius():
+    r = np.random.default_rng(2)
+    codes = r.integers(0, 1 << (decontam.BITS // decontam.BLOCKS), (2_000, decontam.BLOCKS)).astype(np.uint32)
+    index = decontam.Blocks(codes)
+    share = np.mean([len(index.candidates(c)) / 2_000 for c in r.integers(0, 1 << 18, (60, decontam.BLOCKS)).astype(np.uint32)])
+    assert share < 0.05, share
+    for away in (0, 10, 25, decontam.RADIUS, decontam.RADIUS + 1):
+        for k in range(40):
+            bits = np.zeros(decontam.BITS, bool)
+            bits[r.choice(decontam.BITS, away, replace=False)] = True
+            near = index.within(codes[k] ^ decontam._code(bits[None].astype(int))[0].astype(np.uint32)).tolist()
+            assert (k in near) == (away <= decontam.RADIUS)
+
+
+def test_leaks_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 100)
+    items = [(k, " ".join(f"b{k}w{j}" for j in range(20))) for k in range(10)]
+    d = docs(spark, [(1, items[2][1]), (None, items[3][1]), (2, "none")]).withColumns({"row": F.lit(1), "_row": F.lit(2), "items": F.lit(3)})
+    clean = decontam.without_leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.columns == d.columns and [x.doc_id for x in clean.collect()] == [2]
+
+
 def embeddings(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id long, key int")
 
