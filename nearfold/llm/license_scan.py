@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._words import LOWER, NOT_ALNUM, blocks, longs, words
+from .license_texts import TEXTS
 
 #: Phrases and the labels that each of their places gives.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Openings and notices of public licences, by label.
-TEMPLATES = (
+#: Openings and short notices of public licences, by label; their texts are in license_texts.
+NOTICES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -41,7 +42,9 @@ TEMPLATES = (
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "All rights reserved"),
 )
-#: Words of the shortest match that is chained; words between two matches of a chain; share of a template to cover.
+TEMPLATES = (*NOTICES, *TEXTS)
+#: Words of the shortest match that is chained; words between two matches of a chain, in the text and in the template; share of
+#: a template to cover.
 LEAST_MATCH, MOST_GAP, LEAST_COVER = 3, 6, 0.8
 
 
@@ -123,13 +126,27 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def shorter(self, length: int, state: int) -> Iterator[tuple[int, int]]:
+        """(length, state) of a match and of those that end with it and stand in more templates, down to LEAST_MATCH words."""
+        while length >= LEAST_MATCH:
+            yield length, state
+            state = self.automaton.link[state]
+            length = self.automaton.length[state]
+
     def matches(self, run: list[int]) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the matches of at least LEAST_MATCH words that can't go on, ends exclusive."""
+        """(end, length, state) of the matches of at least LEAST_MATCH words that can't go on in some template, ends exclusive: a
+        run that ends in one template may go on in another."""
         seen, out = list(self.automaton.statistics(run)), []
-        for at, (length, state) in enumerate(seen):
-            if length >= LEAST_MATCH and (at + 1 == len(seen) or seen[at + 1][0] != length + 1):
-                out.append((at + 1, length, state))
-        return out
+        ends = self.automaton.ends
+        following: set[tuple[int, int]] = set()
+        for at in range(len(seen) - 1, -1, -1):
+            here: set[tuple[int, int]] = set()
+            for length, state in self.shorter(*seen[at]):
+                if any((t, last + 1) not in following for t, last in ends[state]):
+                    out.append((at + 1, length, state))
+                here = set(ends[state])  # of the shortest, which has all
+            following = here
+        return sorted(out)
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
         """(start, end, template, share covered) of the best chains. Matches come in order of their ends."""
@@ -145,7 +162,7 @@ class Scanner:
                 for a, b, t, n in reversed(chains):
                     if b + MOST_GAP < start:  # so do all before it
                         break
-                    if b <= start <= b + MOST_GAP and t <= there - (end - start) and n + end - start > best[3]:
+                    if b <= start <= b + MOST_GAP and t <= there - (end - start) <= t + MOST_GAP and n + end - start > best[3]:
                         best = (a, end, there, n + end - start)
                 chains.append(best)
             good = [(a, b, template, n / self.sizes[template]) for a, b, _, n in chains if n >= LEAST_COVER * self.sizes[template]]

@@ -134,6 +134,16 @@ def test_license_spans(spark):
     assert r[1].spans == [] and r[1].score == 0.0
 
 
+def test_licenses_with_like_texts_are_told_apart(spark):
+    texts = dict(license_scan.TEXTS)
+    gap = texts["mit"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "ACME INC")
+    rows = [(1, "x " + texts["bsd-2-clause"]), (2, texts["bsd-3-clause"].replace("the copyright holder", "Acme")), (3, texts["isc"]), (4, gap), (5, texts["mit"][:500]), (6, texts["0bsd"])]
+    found = {r.doc_id: {s.label for s in r.spans} for r in license_scan.find_licenses(docs(spark, rows)).collect()}
+    assert found[1] & {"bsd-2-clause", "bsd-3-clause"} == {"bsd-2-clause"}
+    assert found[2] & {"bsd-2-clause", "bsd-3-clause"} == {"bsd-3-clause"}
+    assert "isc" in found[3] and "mit" in found[4] and "mit" in found[5] and "0bsd" in found[6]
+
+
 def test_matching_statistics_against_all_runs():
     import random
 
