@@ -187,9 +187,9 @@ def _components(docs: DataFrame, width: int, percent: int, rows: int = ROWS, ban
     classes = _store.table(classes, "classes")
     banded = signed.select(F.col("row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     banded = _store.table(banded, "bands")
-    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("pivot < last").select("key", "pivot", "rows")
-    shared = _store.table(shared, "shared")
-    members = _store.table(matched(banded, shared, "key").select("node", "key", "pivot"), "buckets")
+    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
+    shared = _store.table(shared, "shared")  # a join of two tables can be dealt anew where a key is hot, one of a sum's parts not
+    members = _store.table(banded.join(shared, "key").select("node", "key", "pivot"), "buckets")
     meets = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = meets.groupBy("node").agg(F.max_by("pivot", F.struct(F.col("n"), -F.col("pivot"))).alias("a"))
     star = _store.table(best.select("a", F.col("node").alias("b")), "pairs")
@@ -200,13 +200,13 @@ def _components(docs: DataFrame, width: int, percent: int, rows: int = ROWS, ban
     labels = components(links)
 
     labelled = members.select("node", "key").join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y").select("key", "rows")
-    open_ = matched(members.select("node", "key"), _store.table(mixed, "mixed"), "key").select("node").distinct()
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    open_ = members.select("node", "key").join(_store.table(mixed, "mixed"), "key", "left_semi").select("node").distinct()
     several = _store.table(sets.join(open_, "node", "left_semi"), "several")
     sharp = several.mapInArrow(_sharpen, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     sharp = _store.table(sharp, "sharp")
-    heads = sharp.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows")).where("pivot < last").select("key", "pivot", "rows")
-    held_together = matched(sharp, _store.table(heads, "heads"), "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    heads = sharp.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
+    held_together = sharp.join(_store.table(heads, "heads"), "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     more = _store.table(_clustered(several, components(held_together), percent), "confirmed")
     labels = components(links.union(more))
 
