@@ -43,16 +43,26 @@ def _joined(edges: DataFrame) -> DataFrame:
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
-    both = cut(edges.select("u", "v").unionAll(edges.select("v", "u")))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+    """Each round maps a node to its smallest neighbour, or that one's, and replaces edges by edges between what their ends map
+    to, until none is left."""
+    left = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = cut(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")))
-        labels = after.select("node", "label")
-        if not after.where("label < was").limit(1).count():
-            return labels
+        both = left.select(F.col("u").alias("node"), "v").union(left.select("v", "u"))
+        near = cut(both.groupBy("node").agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = cut(near.join(far, "label").select("node", F.col("far").alias("label")))
+        rounds.append(labels)
+        u, v = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv")
+        ends = left.join(u, "u").join(v, "v").where("lu <> lv")
+        left = cut(ends.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
+        if left.isEmpty():
+            break
+    found = rounds.pop()
+    while rounds:
+        later = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        found = rounds.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return cut(found)
 
 
 def sizes(labels: DataFrame) -> DataFrame:
@@ -79,8 +89,7 @@ def sweep(births: DataFrame, nodes: DataFrame, k_max: int, one_task: int = ONE_T
     """(k, n_components, largest_component_size) for k = 1..k_max. Each round joins the labels of k - 1 by the edges born at k."""
     n = nodes.count()
     if births.limit(one_task + 1).count() > one_task:
-        rows = [r for k in range(1, k_max + 1) for r in summary(components(births.where(F.col("birth") <= k), nodes, one_task)).select(F.lit(k), "n_components", "largest_component_size").collect()]
-        return nodes.sparkSession.createDataFrame(rows, "k int, n_components long, largest_component_size long")
+        return _sweep_rounds(births, nodes, k_max)
 
     def run(table: pa.Table) -> pa.Table:
         u, v, birth = (table.column(c).to_numpy() for c in ("u", "v", "birth"))
@@ -97,6 +106,21 @@ def sweep(births: DataFrame, nodes: DataFrame, k_max: int, one_task: int = ONE_T
     return births.select("u", "v", "birth", F.lit(0).alias("all")).groupBy("all").applyInArrow(lambda t: run(t), "k int, n_components long, largest_component_size long")
 
 
+def _sweep_rounds(births: DataFrame, nodes: DataFrame, k_max: int) -> DataFrame:
+    """sweep() for any number of edges: the labels of k - 1, joined by the edges of birth k between them."""
+    labels, rows, last = cut(nodes.select("node", F.col("node").alias("label"))), [], None
+    for k in range(1, k_max + 1):
+        u, v = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "uv")
+        new = births.where(F.col("birth") == k).join(u, "u").join(v, "v").where("lu <> lv")
+        new = cut(new.select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
+        if last is None or not new.isEmpty():
+            joined = _rounds(new).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = cut(labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            last = summary(labels).select("n_components", "largest_component_size").first()
+        rows.append((k, *last))
+    return nodes.sparkSession.createDataFrame(rows, "k int, n_components long, largest_component_size long")
+
+
 def threshold(sweep: DataFrame) -> DataFrame:
     """(k_c): the smallest k with one component, null if there is none."""
     return sweep.agg(F.min(F.when(F.col("n_components") == 1, F.col("k"))).alias("k_c"))

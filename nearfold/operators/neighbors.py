@@ -1,12 +1,14 @@
 """Exact Euclidean nearest neighbours and Gaussian weights.
 
-Rows are dealt into blocks; every ordered pair of blocks is one group, whose numpy kernel keeps the nearest k of each row.
-Groups have a fixed size whatever the table's; the partial lists are merged by a window. Neighbours are computed once, at
-the largest k, and every smaller graph is a filter on the rank.
+Rows are dealt into blocks; every pair of blocks is one group, whose numpy kernel keeps the nearest k of each row on either
+side. Groups have at most 2 * BLOCK rows whatever the table's size; the partial lists are merged by a window. Neighbours are
+computed once, at the largest k, and every smaller graph is a filter on the rank.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -16,7 +18,10 @@ from pyspark.sql import functions as F
 
 #: Largest k, rank of the distance that gives the bandwidth.
 K_MAX, BANDWIDTH_RANK = 64, 10
-BLOCK = 2048
+#: Rows of a block at most and, as long as there are not PARTS blocks, at least.
+BLOCK, LEAST_BLOCK, PARTS = 4096, 256, 8
+#: Distances that a kernel holds at a time; pairs whose exact distance it works out at a time.
+AT_ONCE, EXACT = 1 << 22, 1 << 16
 
 
 def check_k(k: int, n: int) -> None:
@@ -29,27 +34,55 @@ def check_k(k: int, n: int) -> None:
 
 
 def _dealt(features: DataFrame, n: int) -> DataFrame:
-    blocks = ceil(n / BLOCK)
+    """(node, f, mine, x, y): every row in the groups x <= y of its block and each block."""
+    blocks = max(ceil(n / BLOCK), min(PARTS, ceil(n / LEAST_BLOCK)))
     mine = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = features.select("node", "f", mine.alias("mine"))
-    ask = rows.select("node", "f", F.col("mine").alias("x"), F.explode(every).alias("y"), F.lit(True).alias("asks"))
-    tell = rows.select("node", "f", F.explode(every).alias("x"), F.col("mine").alias("y"), F.lit(False).alias("asks"))
-    return ask.unionByName(tell)
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = features.select("node", "f", mine.alias("mine"), other.alias("other"))
+    return rows.select("node", "f", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
 
 
-def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    node = table.column("node").to_numpy()
+Side = tuple[np.ndarray, np.ndarray]
+
+
+def _sides(table: pa.Table) -> list[Side]:
+    """(nodes in order, vectors) of the one or two blocks of a group."""
+    node, mine = table.column("node").to_numpy(), table.column("mine").to_numpy()
     flat = table.column("f").combine_chunks()
     f = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(node), -1)
-    asks = table.column("asks").to_numpy().astype(bool)
     order = np.argsort(node, kind="stable")
-    node, f, asks = node[order], f[order], asks[order]
-    return node[asks], f[asks], node[~asks], f[~asks]
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2))
+    node, f, mine = node[order], f[order], mine[order]
+    return [(node[mine == b], f[mine == b]) for b in np.unique(mine)]
+
+
+def _exact(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r))
+    for lo in range(0, len(r), EXACT):
+        part = slice(lo, lo + EXACT)
+        out[part] = np.sqrt(((a[r[part]] - b[c[part]]) ** 2).sum(axis=1))
+    return out
+
+
+def _nearest(one: Side, other: Side, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, dist) of the nearest k of ``other`` for each of ``one``, by distance and then node.
+
+    Squares by a matrix product say which can be among them, with room for rounding; of those the exact distances decide."""
+    (i, a), (j, b) = one, other
+    k, size = min(k, len(j)), (b * b).sum(axis=1)
+    step = max(1, AT_ONCE // max(1, len(j)))
+    for lo in range(0, len(i) if k else 0, step):
+        x = a[lo : lo + step]
+        own = (x * x).sum(axis=1)
+        d = own[:, None] + size - 2 * (x @ b.T)
+        d[i[lo : lo + step, None] == j[None]] = np.inf  # not its own neighbour
+        most = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + size.max())
+        r, c = np.nonzero((d <= most[:, None]) & (d < np.inf))
+        dist = _exact(x, b, r, c)
+        order = np.lexsort([j[c], dist, r])
+        r, c, dist = r[order], c[order], dist[order]
+        first = np.searchsorted(r, np.arange(len(x)))
+        keep = np.arange(len(r)) - first[r] < k
+        yield i[lo + r[keep]], j[c[keep]], dist[keep]
 
 
 def neighbors(features: DataFrame, k_max: int = K_MAX) -> DataFrame:
@@ -60,16 +93,10 @@ def neighbors(features: DataFrame, k_max: int = K_MAX) -> DataFrame:
     k = min(n - 1, max(k_max, BANDWIDTH_RANK))
 
     def run(table: pa.Table) -> pa.Table:
-        i, a, j, b = _sides(table)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, (1 << 22) // max(1, b.size))
-        for lo in range(0, len(i) if len(j) else 0, step):
-            d = _distances(a[lo : lo + step], b)
-            d[i[lo : lo + step, None] == j[None]] = np.inf  # not its own neighbour
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, near, axis=1)
-            real = np.isfinite(dist)
-            out.append((np.repeat(i[lo : lo + step], real.sum(axis=1)), j[near][real], dist[real]))
+        sides = _sides(table)
+        same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        ways = [(s, s) for s in sides] if same else [(a, b) for a in sides for b in sides if a is not b]
+        out = [part for one, other in ways for part in _nearest(one, other, k)]
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"i": cols[0], "j": cols[1], "dist": cols[2]})
 
@@ -78,27 +105,85 @@ def neighbors(features: DataFrame, k_max: int = K_MAX) -> DataFrame:
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", F.col("rank").cast("int").alias("rank"), "dist")
 
 
+def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, dist) of the pairs i < j of a group."""
+    sides = _sides(table)
+    same = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+    for one, other in [(sides[0], sides[0])] if same else [(sides[0], sides[1])] if len(sides) > 1 else []:
+        (i, a), (j, b) = one, other
+        step = max(1, EXACT // max(1, len(j)))
+        for lo in range(0, len(i), step):
+            part = np.arange(lo, min(lo + step, len(i)))
+            r, c = np.nonzero(i[part, None] < j[None]) if same else (np.repeat(np.arange(len(part)), len(j)), np.tile(np.arange(len(j)), len(part)))
+            u, v = i[part][r], j[c]
+            yield np.minimum(u, v), np.maximum(u, v), _exact(a[part], b, r, c)
+
+
 def pairs(features: DataFrame) -> DataFrame:
     """(i, j, dist) of all i < j: for statistics of small tables; nothing keeps it."""
-    n = features.count()
 
     def run(table: pa.Table) -> pa.Table:
-        i, a, j, b = _sides(table)
-        out = []
-        step = max(1, (1 << 22) // max(1, b.size))
-        for lo in range(0, len(i) if len(j) else 0, step):
-            d, up = _distances(a[lo : lo + step], b), i[lo : lo + step, None] < j[None]
-            x, y = np.nonzero(up)
-            out.append((i[lo + x], j[y], d[up]))
+        out = list(_pairs(table))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"i": cols[0], "j": cols[1], "dist": cols[2]})
 
-    return _dealt(features, n).groupBy("x", "y").applyInArrow(run, "i long, j long, dist double")
+    return _dealt(features, features.count()).groupBy("x", "y").applyInArrow(run, "i long, j long, dist double")
+
+
+def order_statistics(features: DataFrame, places: list[int]) -> list[float]:
+    """Of the distances of all pairs in rising order, those at ``places`` (from 0), exactly; no pair is ever a row.
+
+    Distances are not negative, so they rise with their 64 bits. Four passes each count 16 bits more of those that agree with a
+    wanted one so far: at most 65,536 sums for each wanted place come to the driver."""
+    n = features.count()
+    dealt = _dealt(features, n)
+    at = {p: (0, p) for p in places}  # bits so far, place among those that share them
+    for shift in (48, 32, 16, 0):
+        known = np.unique([bits for bits, _ in at.values()])
+
+        def run(table: pa.Table) -> pa.Table:
+            count: dict[int, int] = defaultdict(int)
+            for _, _, dist in _pairs(table):
+                bits = dist.view(np.int64) >> shift
+                value, times = np.unique(bits[np.isin(bits >> 16, known)], return_counts=True)
+                for v, t in zip(value.tolist(), times.tolist()):
+                    count[v] += t
+            return pa.table({"bits": pa.array(count.keys(), pa.int64()), "n": pa.array(count.values(), pa.int64())})
+
+        sums = dealt.groupBy("x", "y").applyInArrow(run, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).toArrow()
+        bits, count = sums.column("bits").to_numpy(), sums.column("n").to_numpy()
+        order = np.argsort(bits)
+        bits, count = bits[order], count[order]
+        for p, (prefix, place) in at.items():
+            own = (bits >> 16) == prefix
+            upto = np.cumsum(count[own])
+            k = int(np.searchsorted(upto, place, "right"))
+            at[p] = (int(bits[own][k]), place - int(upto[k] - count[own][k]))
+    return [float(np.int64(at[p][0]).view(np.float64)) for p in places]
+
+
+QUARTERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def pair_quantiles(features: DataFrame, sigma: float | None = None) -> DataFrame:
+    """(n, q0, q25, q50, q75, q100) of the distances of all pairs, or with ``sigma`` of their similarities, by linear
+    interpolation. A similarity falls with the distance, so its ranks are those of distances from the end."""
+    n = features.count()
+    n = n * (n - 1) // 2
+    if not n:
+        return features.sparkSession.createDataFrame([(0, *[None] * 5)], "n long, q0 double, q25 double, q50 double, q75 double, q100 double")
+    ends = [(int(np.floor(q * (n - 1))), int(np.ceil(q * (n - 1)))) for q in QUARTERS]
+    place = (lambda p: p) if sigma is None else (lambda p: n - 1 - p)
+    wanted = sorted({place(p) for e in ends for p in e})
+    dist = dict(zip(wanted, order_statistics(features, wanted)))
+    value = lambda p: dist[place(p)] if sigma is None else float(np.exp(-0.5 * (dist[place(p)] / sigma) ** 2))
+    row = [value(a) + (value(b) - value(a)) * (q * (n - 1) - a) for q, (a, b) in zip(QUARTERS, ends)]
+    return features.sparkSession.createDataFrame([(n, *row)], "n long, q0 double, q25 double, q50 double, q75 double, q100 double")
 
 
 def bandwidth(neighbors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(sigma, fallback): the median distance to the 10th neighbour; if that is 0 the median of the positive ones; if there are
-    none, of the positive distances of ``pairs``. No row where all are 0."""
+    none, of the positive distances of ``pairs``. All distances 0 is an error when the row is read."""
     tenth = neighbors.where(F.col("rank") == BANDWIDTH_RANK)
     got = tenth.agg(F.median("dist").alias("plain"), F.median(F.when(F.col("dist") > 0, F.col("dist"))).alias("positive"))
     if pairs is not None:
@@ -106,7 +191,8 @@ def bandwidth(neighbors: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     else:
         got = got.withColumn("all", F.lit(None).cast("double"))
     fallback = F.when(F.col("plain") > 0, F.lit(None).cast("string")).when(F.col("positive") > 0, "positive_10th").otherwise("positive_pairwise")
-    return got.select(F.coalesce(F.when(F.col("plain") > 0, F.col("plain")), "positive", "all").alias("sigma"), fallback.alias("fallback")).where("sigma > 0")
+    none = F.raise_error(F.lit("all distances are zero")).cast("double")
+    return got.select(F.coalesce(F.when(F.col("plain") > 0, F.col("plain")), "positive", "all", none).alias("sigma"), fallback.alias("fallback"))
 
 
 def gaussian(dist: Column, sigma: Column) -> Column:
@@ -118,9 +204,3 @@ def weighted(neighbors: DataFrame, sigma: DataFrame) -> DataFrame:
     w = neighbors.crossJoin(F.broadcast(sigma.select("sigma"))).withColumn("w", gaussian(F.col("dist"), F.col("sigma"))).drop("sigma")
     bad = F.raise_error(F.lit("a similarity is not positive and finite"))
     return w.withColumn("w", F.when((F.col("w") > 0) & (F.col("w") <= 1), F.col("w")).otherwise(bad.cast("double")))
-
-
-def quantiles(values: DataFrame, column: str) -> DataFrame:
-    """(n, q0, q25, q50, q75, q100), by linear interpolation."""
-    q = values.agg(F.count(column).alias("n"), F.percentile(column, F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return q.select("n", *(F.col("q")[i].alias(f"q{x}") for i, x in enumerate((0, 25, 50, 75, 100))))

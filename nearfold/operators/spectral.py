@@ -236,9 +236,9 @@ def nodal_domains(edges: DataFrame, vector: DataFrame, tolerance: float = 1e-10,
     return found.unionByName(signed.where("sign = 0").select("node", "sign", F.lit(-1).alias("domain")))
 
 
-def fiedler_sweep(births: DataFrame, nodes: DataFrame, k_min: int, k_max: int, dense: int = DENSE) -> DataFrame:
+def fiedler_sweep(births: DataFrame, nodes: DataFrame, k_min: int, k_max: int, dense: int = 0) -> DataFrame:
     """(k, components, lambda2, residual) for each k, from (u, v, birth, w): the second eigenvalue of the whole graph if it is
-    connected, else 0 without a residual. One task per k."""
+    connected, else 0 without a residual. One task per k; two pairs take few Lanczos steps, whatever the number of nodes."""
     n = nodes.count()
     ks = births.sparkSession.range(k_min, k_max + 1).select(F.col("id").cast("int").alias("k"))
     dealt = births.join(F.broadcast(ks), F.col("birth") <= F.col("k")).select("k", "u", "v", "w")  # k_max rows

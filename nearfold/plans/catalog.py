@@ -7,8 +7,10 @@ six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ from ..operators import neighbors as K
 from ..operators import partition as I
 from ..operators import spectral as L
 from ..operators import structure as D
+from ..sources import sinks
 from ..sources import tracks as S
 from .oracles import sql
-from .session import cut
+from .session import cut, folder, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,7 +65,12 @@ def halves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near(spark: SparkSession, sf: str, k: int = K.K_MAX) -> DataFrame:
-    return cut(K.neighbors(features(spark, sf), k))
+    """The nearest max(k, 10) of every node, from one table for all queries of a session on the same files."""
+    x = features(spark, sf)
+    n = x.count()
+    K.check_k(k, n)
+    full = shared(spark, f"{sf}/embeddings.parquet", "near", lambda: K.neighbors(x, min(K.K_MAX, n - 1)))
+    return full.where(F.col("rank") <= max(k, K.BANDWIDTH_RANK))
 
 
 def weighted(spark: SparkSession, sf: str, k: int = K.K_MAX) -> DataFrame:
@@ -130,6 +138,18 @@ def _(spark, sf):
     return shown(long_.groupBy("track_id").agg(F.coalesce(F.first("clipped"), F.lit(-1)).alias("clipped"), F.first("error").alias("error"), F.count("value").alias("n"), F.sum("value").alias("total"), F.max(F.when(F.col("pos") == 14, F.col("value"))).alias("std_01")))
 
 
+@query("tracks_negative_variance", "tracks_negative_variance")
+def _(spark, sf):
+    """Records whose covariances are large beside a variance of -1e-9: rounding is told by the variances alone, so with small ones
+    it is an error, and with large ones it is clipped."""
+    by = lambda i, j: F.when(F.lit(i) == F.lit(j), F.lit(-1e-9) if i == 0 else F.when(F.col("p_size") > 25, 1000.0).otherwise(1.0)).otherwise(1000.0)
+    cov = F.array(*(F.array(*(by(i, j) for j in range(13))) for i in range(13)))
+    r = records(spark, sf).where("acoustic.rhythm.onset_rate = acoustic.rhythm.onset_rate and not isnan(acoustic.rhythm.onset_rate)")
+    size = F.col("acoustic.rhythm.bpm").alias("p_size")
+    r = r.select("node", "acoustic", size).withColumn("acoustic", F.col("acoustic").withField("lowlevel.mfcc.cov", cov))
+    return S.extract_features(r.drop("p_size")).select("track_id", F.coalesce("clipped", F.lit(-1)).cast("long").alias("clipped"), "error")
+
+
 @query("tracks_dense_index", "tracks_dense_index")
 def _(spark, sf):
     return S.indexed(S.checked_keys(records(spark, sf))).select(F.col("node.track_id").alias("track_id"), "node_index", F.array_join("node.genre", "|").alias("genre"))
@@ -183,12 +203,19 @@ def _(spark, sf):
 
 @query("knn_neighbors_k10", "knn_neighbors_k10")
 def _(spark, sf):
-    return shown(K.neighbors(features(spark, sf), 10))
+    return shown(near(spark, sf, 10))
 
 
 @query("knn_bandwidth", "knn_bandwidth")
 def _(spark, sf):
-    return shown(K.bandwidth(K.neighbors(features(spark, sf), 10)))
+    return shown(K.bandwidth(near(spark, sf, 10)))
+
+
+@query("bandwidth_fallback_given", "bandwidth_fallback_given")
+def _(spark, sf):
+    """Most tenth distances 0: the median of the positive ones. Distances by supplier, in place of neighbours."""
+    d = F.when(F.col("s_suppkey") % 3 == 0, F.abs("s_acctbal")).otherwise(0.0)
+    return shown(K.bandwidth(table(spark, sf, "supplier").select(F.lit(K.BANDWIDTH_RANK).alias("rank"), d.alias("dist"))))
 
 
 @query("knn_gaussian_weights", "knn_gaussian_weights")
@@ -198,13 +225,12 @@ def _(spark, sf):
 
 @query("pair_quantiles", "pair_quantiles")
 def _(spark, sf):
-    return shown(K.quantiles(K.pairs(features(spark, sf)), "dist"))
+    return shown(K.pair_quantiles(features(spark, sf)))
 
 
 @query("similarity_quantiles", "similarity_quantiles")
 def _(spark, sf):
-    x = features(spark, sf)
-    return shown(K.quantiles(K.weighted(K.pairs(x), cut(K.bandwidth(K.neighbors(x, 10)))), "w"))
+    return shown(K.pair_quantiles(features(spark, sf), K.bandwidth(near(spark, sf, 10)).first()["sigma"]))
 
 
 # --- graphs ---
@@ -300,9 +326,9 @@ def _(spark, sf):
     return shown(C.sweep(G.births(near(spark, sf, 10)), nodes(spark, sf), 4))
 
 
-@query("connectivity_sweep_k64")
+@query("connectivity_sweep_k64", "connectivity_sweep_k64")
 def _(spark, sf):
-    return C.sweep(G.births(near(spark, sf)), nodes(spark, sf), 64)
+    return shown(C.sweep(G.births(near(spark, sf)), nodes(spark, sf), 64))
 
 
 @query("connectivity_threshold", "connectivity_threshold")
@@ -696,6 +722,87 @@ def _(spark, sf):
     return L.decreases(QUERIES["fiedler_sweep"](spark, sf))
 
 
+@query("spectrum_agreement", "spectrum_agreement")
+def _(spark, sf):
+    """(graph, idx, agree) of 33 pairs by Lanczos steps and by the dense solution: values within 1e-8, residuals at most 1e-8."""
+    e = largest(spark, sf, 3).unionByName(largest(spark, sf, 64))
+    a, b = (L.eigenvalues(cut(L.spectrum(e, dense=d))) for d in (L.DENSE, 0))
+    b = b.select("graph", "idx", F.col("value").alias("other"), F.col("residual").alias("rest"))
+    good = (F.abs(F.col("value") - F.col("other")) < 1e-8) & (F.col("residual") <= 1e-8) & (F.col("rest") <= 1e-8)
+    return shown(a.join(b, ["graph", "idx"]).select("graph", "idx", good.alias("agree")))
+
+
+@query("spectrum_checks", "spectrum_checks")
+def _(spark, sf):
+    """What must hold of any connected graph's 33 pairs: first value 0 along the roots of the strengths, the second above it, all
+    in [0, 2], orthogonal, small residuals; the second as lanczos() finds it."""
+    e, s = solved(spark, sf)
+    x = L.sanity(s, e).join(L.subspace_residual(s), "graph")
+    lanczos = L.lanczos(e).where("idx = 2").select(F.col("value").alias("other"))
+    worst = L.eigenvalues(s).groupBy("graph").agg(F.max("orthogonality").alias("o"))
+    x = x.join(worst, "graph").crossJoin(lanczos)  # one row and one row
+    zero = (F.abs("first") < 1e-9) & (F.abs(F.col("cosine") - 1) < 1e-9)
+    return x.select(zero.alias("first_is_zero"), (F.col("second") > 1e-8).alias("second_is_not"), "in_range", (F.col("residual") < 1e-8).alias("residual_is_small"), (F.col("o") < 1e-8).alias("orthogonal"), (F.abs(F.col("second") - F.col("other")) < 1e-8).alias("lanczos_agrees"))
+
+
+@query("pca_checks", "pca_checks")
+def _(spark, sf):
+    """(component, unit, uncorrelated, variance_agrees, falls) of the components: unit vectors, coordinates of mean 0 and without
+    correlation, their variances in the ratios that are reported, which fall."""
+    x = features(spark, sf)
+    m = P.fit(x, BORDERS)
+    d = len(m.components)
+    z = P.long_form(m.apply(x)).select("node", F.col("feature").alias("c"), "value")
+    own = z.groupBy("c").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    other = z.select("node", F.col("c").alias("c2"), F.col("value").alias("value2"))
+    most = z.join(other, "node").where("c <> c2").groupBy("c", "c2").agg(F.abs(F.covar_pop("value", "value2")).alias("v")).groupBy("c").agg(F.max("v").alias("v"))
+    fixed = [(k, float(np.linalg.norm(m.components[k])), float(m.variance_ratio[k]), bool(k == 0 or m.variance_ratio[k] <= m.variance_ratio[k - 1])) for k in range(d)]
+    t = spark.createDataFrame(fixed, "c int, norm double, ratio double, falls boolean").join(own, "c").join(most, "c")
+    whole = F.sum("variance").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row per component
+    part = float(sum(m.variance_ratio[:d]))
+    agrees = F.abs(F.col("variance") / whole * part - F.col("ratio")) < 1e-9
+    return t.select((F.col("c") + 1).cast("long").alias("component"), (F.abs(F.col("norm") - 1) < 1e-9).alias("unit"), ((F.abs("mean") < 1e-9) & (F.col("v") < 1e-9)).alias("uncorrelated"), agrees.alias("variance_agrees"), "falls")
+
+
+@query("leiden_checks", "leiden_checks")
+def _(spark, sf):
+    """(graph, seed, ...) of every restart: all nodes have a community, each is connected, and the modularity is that of its table and
+    above that of single nodes."""
+    e, m = found(spark, sf)
+    n = nodes(spark, sf).count()
+    rows = []
+    for g in (3, 64):
+        own, r = e.where(F.col("graph") == g).drop("graph"), M.restarts(m).where(F.col("graph") == g)
+        for seed in M.SEEDS:
+            labels = cut(m.where((F.col("graph") == g) & (F.col("seed") == seed)).select("node", "label"))
+            parts = C.group_connectivity(own, labels).agg(F.max("parts").alias("parts"))
+            q = I.modularity(I.community_table(own, labels)).toDF("q")
+            one = r.where(F.col("seed") == seed).crossJoin(parts).crossJoin(q).crossJoin(labels.agg(F.count("node").alias("nodes")))  # rows of one
+            rows.append(one.select(F.lit(g).cast("long").alias("graph"), F.col("seed").cast("long").alias("seed"), (F.col("nodes") == n).alias("whole"), (F.col("parts") == 1).alias("connected"), (F.abs(F.col("q") - F.col("weighted_modularity")) < 1e-9).alias("modularity_agrees"), (F.col("q") > 0).alias("gains")))
+    out = rows[0]
+    for x in rows[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("sinks_round_trip", "sinks_round_trip")
+def _(spark, sf):
+    """Rows of ``supplier`` that come back equal from every kind of file, in the shared folder."""
+    t = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+    schema, out = ", ".join(f"{c} {k}" for c, k in t.dtypes), []
+    base = f"{folder(spark)}/nearfold-sinks-{uuid.uuid4().hex}"
+    ways = {
+        "parquet": (sinks.write_table, lambda p: spark.read.parquet(p)),
+        "jsonl": (sinks.write_jsonl, lambda p: spark.read.schema(schema).json(p)),
+        "csv": (sinks.write_csv, lambda p: sinks.read_csv(spark, p, schema)),
+        "csv_bom": (sinks.write_csv_bom, lambda p: sinks.read_csv(spark, p, schema)),
+    }
+    for name, (write, read) in ways.items():
+        write(t, f"{base}/{name}")
+        out.append(read(f"{base}/{name}").intersectAll(t).agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("equal_rows")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("fiedler_cross_check")
 def _(spark, sf):
     """The second eigenvalue at k = 3 and 64 by the sweep and by the whole solution."""
@@ -728,13 +835,16 @@ def _(spark, sf):
 @query("restart_stability")
 def _(spark, sf):
     _, m = found(spark, sf)
-    return I.stability(m.where("graph = 3").select(F.col("seed").alias("run"), "node", "label"))
+    one = [I.stability(m.where(F.col("graph") == g).select(F.col("seed").alias("run"), "node", "label")).withColumn("graph", F.lit(g)) for g in (3, 64)]
+    return one[0].unionByName(one[1])
 
 
 @query("cross_k_comparison")
 def _(spark, sf):
+    """The best restart of k = 3 against that of k = 64."""
     _, m = found(spark, sf)
-    a, b = (m.where((F.col("graph") == g) & (F.col("seed") == 521)).select("node", "label") for g in (3, 64))
+    best = m.join(F.broadcast(M.best(M.restarts(m))), ["graph", "seed"], "left_semi")  # a row per graph
+    a, b = (best.where(F.col("graph") == g).select("node", "label") for g in (3, 64))
     t = I.contingency(a, b)
     return I.adjusted_rand(t).crossJoin(I.nmi(t))
 

@@ -202,6 +202,25 @@ SQL: dict[str, str] = {
         rb as (select p, q, sum(s * (s - 1) / 2) as pb from (select p, q, b, sum(n) as s from t group by 1, 2, 3) group by 1, 2),
         v as (select (x - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)) as v from c join ra using (p, q) join rb using (p, q))
         select count(*) as pairs, round(min(v), 6) + 0.0 as ari_min, round(median(v), 6) + 0.0 as ari_median from v""",
+    "connectivity_sweep_k64": """
+        with recursive link as (select u as src, v as dst, birth from births union all select v, u, birth from births),
+        comp(k, node, label) using key (k, node) as (
+          select cast(k as bigint), node, node from feat, range(1, 65) t(k)
+          union
+          (select distinct on (x.k, x.node) x.k, x.node, y.label from recurring.comp x join link e on e.src = x.node and e.birth <= x.k join comp y on y.k = x.k and y.node = e.dst
+           where y.label < x.label order by x.k, x.node, y.label)
+        ), size as (select k, label, count(*) as n from comp group by 1, 2)
+        select k, count(*) as n_components, max(n) as largest_component_size from size group by k""",
+    "tracks_negative_variance": """
+        select 't' || lpad(cast(p_partkey as varchar), 6, '0') as track_id, cast(case when p_size > 25 then 1 else -1 end as bigint) as clipped,
+          case when p_size <= 25 then 't' || lpad(cast(p_partkey as varchar), 6, '0') || ': mfcc.cov: negative variance' end as error
+        from part where p_partkey % 7 <> 0""",
+    "bandwidth_fallback_given": "select round(median(abs(s_acctbal)), 6) as sigma, 'positive_10th' as fallback from supplier where s_suppkey % 3 = 0 and s_acctbal <> 0",
+    "spectrum_agreement": "select cast(g as bigint) as graph, cast(i as bigint) as idx, true as agree from (values (3), (64)) a(g), range(1, 34) b(i)",
+    "spectrum_checks": "select true as first_is_zero, true as second_is_not, true as in_range, true as residual_is_small, true as orthogonal, true as lanczos_agrees",
+    "pca_checks": "select cast(c as bigint) as component, true as unit, true as uncorrelated, true as variance_agrees, true as falls from range(1, 33) t(c)",
+    "leiden_checks": "select cast(g as bigint) as graph, cast(s as bigint) as seed, true as whole, true as connected, true as modularity_agrees, true as gains from (values (3), (64)) a(g), range(521, 526) b(s)",
+    "sinks_round_trip": "select kind, count(*) as equal_rows from supplier, (values ('parquet'), ('jsonl'), ('csv'), ('csv_bom')) t(kind) group by kind",
     "variance_given": """with r as (select s_suppkey + 1 as component, s_acctbal / sum(s_acctbal) over () as x from supplier where s_acctbal > 0)
         select component, round(x, 6) as explained_variance_ratio, round(sum(x) over (order by component), 6) as cumulative_explained_variance, component <= 32 as retained from r""",
     "node_assignment": """with g as (select label, row_number() over (order by count(*) desc, min(node)) as community from given group by label)

@@ -1,15 +1,38 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and tables that several queries share."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_shared: dict[tuple, DataFrame] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
+
+def folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; in local runs without it a folder of our own."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfold-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="nearfold-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in folder()."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(spark: SparkSession, path: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() once for a session and the files at ``path`` as they are now, checkpointed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _shared:
+        _shared[key] = cut(make())
+    return _shared[key]

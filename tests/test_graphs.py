@@ -41,7 +41,7 @@ BRIDGE = clique(range(5)) + clique(range(5, 10)) + [(4, 5)]
 
 
 def test_neighbours_against_numpy_with_ties_and_copies(spark, monkeypatch):
-    monkeypatch.setattr(K, "BLOCK", 8)
+    monkeypatch.setattr(K, "LEAST_BLOCK", 8)
     r = np.random.default_rng(1)
     x = r.integers(0, 3, (40, 3)).astype(float)
     got = {(t.i, t["rank"]): (t.j, t.dist) for t in K.neighbors(vectors(spark, x), 12).collect()}
@@ -65,7 +65,28 @@ def test_bandwidth_fallbacks(spark):
     assert K.bandwidth(at(0, 0, 4)).collect()[0] == (4.0, "positive_10th")
     pairs = spark.createDataFrame([(0, 1, 0.0), (0, 2, 3.0), (1, 2, 5.0)], "i long, j long, dist double")
     assert K.bandwidth(at(0, 0, 0), pairs).collect()[0] == (4.0, "positive_pairwise")
-    assert K.bandwidth(at(0, 0, 0), pairs.where("dist = 0")).count() == 0
+    with pytest.raises(Exception, match="all distances are zero"):
+        K.bandwidth(at(0, 0, 0), pairs.where("dist = 0")).collect()
+
+
+def test_order_statistics_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(K, "LEAST_BLOCK", 8)
+    x = np.random.default_rng(3).integers(0, 4, (50, 3)).astype(float)
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))[np.triu_indices(50, 1)])
+    assert K.order_statistics(vectors(spark, x), [0, 7, 600, 1224]) == d[[0, 7, 600, 1224]].tolist()
+    assert np.allclose(K.pair_quantiles(vectors(spark, x)).first()[1:], np.quantile(d, K.QUARTERS))
+    assert np.allclose(K.pair_quantiles(vectors(spark, x), 1.5).first()[1:], np.quantile(np.exp(-0.5 * (d / 1.5) ** 2), K.QUARTERS))
+    assert K.pair_quantiles(vectors(spark, x[:1])).first()[0] == 0
+
+
+def test_neighbour_table_is_shared_until_files_change(spark, tmp_path):
+    save = lambda seed: spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(np.random.default_rng(seed).standard_normal((30, 4)))], "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    save(1)
+    one = catalog.near(spark, str(tmp_path), 3)
+    first = one.orderBy("i", "rank").collect()
+    assert catalog.near(spark, str(tmp_path), 3).orderBy("i", "rank").collect() == first
+    save(2)
+    assert catalog.near(spark, str(tmp_path), 3).orderBy("i", "rank").collect() != first
 
 
 def test_anchor_counts(spark):
@@ -278,6 +299,14 @@ def test_track_records(spark, tmp_path):
     assert got["a"].clipped == 1 and got["a"].f[13] == 0.0
     assert got["b"].f is None and got["b"].error.startswith("b: mfcc.mean") and "negative" in got["d"].error and got["e"].error == "e: rhythm: value"
     assert [(r.node.track_id, r.node_index) for r in S.indexed(t).orderBy("node_index").collect()] == [(x, k) for k, x in enumerate("abcde")]
+    wide = [[1000.0] * 13 for _ in range(13)]
+    for k in range(13):
+        wide[k][k] = 1.0 if k else -1e-9  # large covariances do not make a variance rounding
+    (tmp_path / "w.jsonl").write_text(json.dumps(record("w", cov=wide)))
+    assert "negative variance" in S.extract_features(S.read_tracks(spark, str(tmp_path / "w.jsonl"))).first().error
+    (tmp_path / "none.jsonl").write_text("\n\n")
+    with pytest.raises(ValueError, match="no records"):
+        S.read_tracks(spark, str(tmp_path / "none.jsonl"))
     with pytest.raises(Exception, match="repeated"):
         S.checked_keys(t.union(t)).collect()
     with pytest.raises(Exception, match="mfcc.mean"):
