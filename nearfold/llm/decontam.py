@@ -37,6 +37,8 @@ RADII = tuple((RADIUS - BLOCKS + 1) // BLOCKS + (b < (RADIUS - BLOCKS + 1) % BLO
 CLASS, STEPS = 1.04, 32
 #: Characters of the items that are held against the documents in one pass.
 SLICE_CHARS = 32_000_000
+#: Blocks that are compared at a time.
+AT_ONCE = 1 << 20
 #: What sums of weights may be off by: a similarity of SIMILAR but for that counts.
 ROUNDING = 1e-9
 KIND = pa.list_(pa.struct([("item", pa.int64()), ("similarity", pa.float64())]))
@@ -72,23 +74,31 @@ class Blocks:
             values, place = np.unique(codes[:, b], return_inverse=True)
             self.tables.append((values, np.argsort(place, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(values)))])))
 
-    def candidates(self, code: np.ndarray) -> np.ndarray:
-        """Fingerprints of which some block is within its radius of that block of ``code``, in order."""
+    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in ``codes`` (m, BLOCKS), fingerprint), in order: all of which some block is within its radius."""
         found = []
-        for (values, order, start), radius, own in zip(self.tables, RADII, code):
-            near = _flips(BITS // BLOCKS, radius)
-            if len(near) < len(values):  # the neighbours are looked up
-                at = np.minimum(np.searchsorted(values, near ^ own), len(values) - 1)
-                hit = np.unique(at[values[at] == near ^ own])
-            else:  # the same by comparing all values, which are fewer
-                hit = np.flatnonzero(np.bitwise_count(values ^ own) <= radius)
-            found += [order[start[v] : start[v + 1]] for v in hit.tolist()]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-
-    def within(self, code: np.ndarray) -> np.ndarray:
-        """Fingerprints within RADIUS bits of ``code``: all of them."""
-        near = self.candidates(code)
-        return near[np.bitwise_count(self.codes[near] ^ code).sum(axis=1) <= RADIUS]
+        for b, ((values, order, start), radius) in enumerate(zip(self.tables, RADII)):
+            flips = _flips(BITS // BLOCKS, radius)
+            step = max(1, AT_ONCE // min(len(flips), len(values)))
+            for lo in range(0, len(codes), step):
+                own = codes[lo : lo + step, b, None]
+                if len(flips) < len(values):  # the neighbours are looked up
+                    at = np.minimum(np.searchsorted(values, own ^ flips), len(values) - 1)
+                    which, place = np.nonzero(values[at] == own ^ flips)
+                    value = at[which, place]
+                else:  # the same by comparing all values, which are fewer
+                    which, value = np.nonzero(np.bitwise_count(values ^ own) <= radius)
+                size = start[value + 1] - start[value]
+                nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                found.append((np.repeat(which, size) + lo) * np.int64(len(self.codes)) + order[np.repeat(start[value], size) + nth])
+        both = np.unique(np.concatenate(found))
+        return both // len(self.codes), both % len(self.codes)
+
+    def within(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number in ``codes``, fingerprint), in order: all within RADIUS bits."""
+        which, near = self.candidates(codes)
+        keep = np.bitwise_count(self.codes[near] ^ codes[which]).sum(axis=1) <= RADIUS
+        return which[keep], near[keep]
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -170,13 +180,13 @@ class Index:
                 if signs is None:
                     signs = np.concatenate([np.zeros((1, BITS)), np.cumsum(_signs(piece) * weights[:, None], axis=0)])
                 sums = signs[np.minimum(starts + n, len(piece))] - signs[starts]
-                for start, code in zip(starts.tolist(), _code(sums).astype(np.uint32)):
-                    for k in items[index.within(code)].tolist():
-                        m = self.sizes[k] - self.shingle + 1
-                        for s in range(max(0, start - step), min(start + step + n - m, max(0, len(piece) - m)) + 1):
-                            if (k, lo + s) not in tried:
-                                tried.add((k, lo + s))
-                                found[k] = max(self.similarity(k, piece[s : s + m]), found.get(k, 0.0))
+                which, near = index.within(_code(sums).astype(np.uint32))
+                for start, k in zip(starts[which].tolist(), items[near].tolist()):
+                    m = self.sizes[k] - self.shingle + 1
+                    for s in range(max(0, start - step), min(start + step + n - m, max(0, len(piece) - m)) + 1):
+                        if (k, lo + s) not in tried:
+                            tried.add((k, lo + s))
+                            found[k] = max(self.similarity(k, piece[s : s + m]), found.get(k, 0.0))
         return {k: x for k, x in found.items() if x >= self.similar - ROUNDING}
 
 

@@ -239,14 +239,19 @@ def test_blocks_prune_and_miss_none_within_the_radius():
     r = np.random.default_rng(2)
     codes = r.integers(0, 1 << (decontam.BITS // decontam.BLOCKS), (2_000, decontam.BLOCKS)).astype(np.uint32)
     index = decontam.Blocks(codes)
-    share = np.mean([len(index.candidates(c)) / 2_000 for c in r.integers(0, 1 << 18, (60, decontam.BLOCKS)).astype(np.uint32)])
+    share = len(index.candidates(r.integers(0, 1 << 18, (60, decontam.BLOCKS)).astype(np.uint32))[0]) / 60 / 2_000
     assert share < 0.05, share
+    few = decontam.Blocks(np.concatenate([codes[:300], codes[:20]]))  # with equal ones, and so few that they are compared
     for away in (0, 10, 25, decontam.RADIUS, decontam.RADIUS + 1):
+        bits = np.zeros((40, decontam.BITS), bool)
         for k in range(40):
-            bits = np.zeros(decontam.BITS, bool)
-            bits[r.choice(decontam.BITS, away, replace=False)] = True
-            near = index.within(codes[k] ^ decontam._code(bits[None].astype(int))[0].astype(np.uint32)).tolist()
-            assert (k in near) == (away <= decontam.RADIUS)
+            bits[k, r.choice(decontam.BITS, away, replace=False)] = True
+        asked = codes[:40] ^ decontam._code(bits.astype(int)).astype(np.uint32)
+        distance = np.bitwise_count(asked[:, None] ^ codes[None]).sum(axis=2)
+        want = list(zip(*np.nonzero(distance <= decontam.RADIUS)))
+        assert list(zip(*index.within(asked))) == want and len(want) >= 40 * (away <= decontam.RADIUS)
+        distance = np.bitwise_count(asked[:, None] ^ few.codes[None]).sum(axis=2)
+        assert list(zip(*few.within(asked))) == list(zip(*np.nonzero(distance <= decontam.RADIUS)))
 
 
 def test_leaks_with_clashing_names(spark, monkeypatch):
