@@ -132,6 +132,17 @@ def community_table(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("boundary_over_volume", F.try_divide("boundary_weight", "volume"))
 
 
+def community_profile(edges: DataFrame, labels: DataFrame, artists: DataFrame, domains: DataFrame, names: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """community_table() with artist_count, largest_artist_count, largest_artist_fraction from (node, artist), and domain_1, ... the
+    nodes in each domain of (node, domain)."""
+    a = labels.join(artists, "node").groupBy("label", "artist").agg(F.count(F.lit(1)).alias("n"))
+    a = a.groupBy("label").agg(F.count(F.lit(1)).alias("artist_count"), F.max("n").alias("largest_artist_count"))
+    d = labels.join(domains, "node").groupBy("label").agg(*(F.count_if(F.col("domain") == x).alias(f"domain_{x}") for x in names))
+    out = community_table(edges, labels).join(a, "label", "left").join(d, "label", "left")
+    out = out.na.fill(0, ["artist_count", "largest_artist_count", *(f"domain_{x}" for x in names)])
+    return out.withColumn("largest_artist_fraction", F.col("largest_artist_count") / F.col("nodes"))
+
+
 def volume_check(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, difference) of the volume by strengths and by edges, 0 but for rounding."""
     ends = edges.select(F.col("u").alias("node"), "w").unionAll(edges.select("v", "w")).join(labels, "node").groupBy("label").agg(F.sum("w").alias("strength"))

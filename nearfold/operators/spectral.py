@@ -19,8 +19,8 @@ from . import components as C
 from .graph import adjacency, degrees
 
 PAIRS, DENSE, SEED = 33, 5_000, 521
-#: Largest residual of a pair that Lanczos steps give.
-TOLERANCE = 1e-10
+#: Largest residual of a pair that Lanczos steps give; entries of a vector that are too near 0 to have a sign, by the largest.
+TOLERANCE, ROBUST = 1e-10, 1e-7
 
 
 def _matrix(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,11 +218,12 @@ def subspace_residual(solved: DataFrame, first: int = 2, count: int = 3) -> Data
 def nodal_domains(edges: DataFrame, vector: DataFrame, tolerance: float = 1e-10, signs_first: bool = True) -> DataFrame:
     """(node, sign, domain): components of the graphs that the nodes of one sign of ``vector`` (node, q) induce.
 
-    Entries within tolerance of 0, relative to the largest, are an error with ``signs_first`` and else the boundary, domain -1.
+    Entries within tolerance of 0, relative to the largest, are the boundary, domain -1. With ``signs_first`` they are an error,
+    and so are those within ROBUST: the domains must not depend on where zero ends.
     Domains are numbered from 1: by sign (negative first), size downwards and smallest node, or without the sign.
     """
     largest = vector.agg(F.max(F.abs("q")).alias("most"))
-    zero = F.abs("q") <= F.col("most") * tolerance
+    zero = F.abs("q") <= F.col("most") * (max(tolerance, ROBUST) if signs_first else tolerance)
     sign = F.when(zero, F.raise_error(F.lit("an entry of the vector is zero")).cast("int") if signs_first else F.lit(0)).otherwise(F.signum("q").cast("int"))
     signed = cut(vector.crossJoin(F.broadcast(largest)).select("node", sign.alias("sign")))  # one row
     inner = signed.where("sign <> 0")

@@ -508,6 +508,11 @@ def _(spark, sf):
     return shown(I.community_table(edges(spark, sf, 3), given(spark, sf)))
 
 
+@query("community_profile", "community_profile")
+def _(spark, sf):
+    return shown(I.community_profile(edges(spark, sf, 3), given(spark, sf), artists(spark, sf), halves(spark, sf).withColumnRenamed("label", "domain")))
+
+
 @query("community_volume_check", "community_volume_check")
 def _(spark, sf):
     return shown(I.volume_check(edges(spark, sf, 3), given(spark, sf)))

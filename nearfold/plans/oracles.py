@@ -221,6 +221,15 @@ SQL: dict[str, str] = {
     "pca_checks": "select cast(c as bigint) as component, true as unit, true as uncorrelated, true as variance_agrees, true as falls from range(1, 33) t(c)",
     "leiden_checks": "select cast(g as bigint) as graph, cast(s as bigint) as seed, true as whole, true as connected, true as modularity_agrees, true as gains from (values (3), (64)) a(g), range(521, 526) b(s)",
     "sinks_round_trip": "select kind, count(*) as equal_rows from supplier, (values ('parquet'), ('jsonl'), ('csv'), ('csv_bom')) t(kind) group by kind",
+    "community_profile": """
+        with who as (select g.label, a.artist, count(*) as n from given g join artists a using (node) group by 1, 2),
+        most as (select label, count(*) as artist_count, max(n) as largest_artist_count from who group by 1),
+        side as (select g.label, count(*) filter (h.label = 1) as domain_1, count(*) filter (h.label = 2) as domain_2 from given g join halves h using (node) group by 1)
+        select c.label, nodes, least, internal_edges, boundary_edges, round(internal_weight, 6) as internal_weight, round(boundary_weight, 6) as boundary_weight,
+          round(2 * internal_weight + boundary_weight, 6) as volume, round(boundary_weight / (2 * internal_weight + boundary_weight), 6) as boundary_over_volume,
+          coalesce(artist_count, 0) as artist_count, coalesce(largest_artist_count, 0) as largest_artist_count, domain_1, domain_2,
+          round(coalesce(largest_artist_count, 0) / nodes, 6) as largest_artist_fraction
+        from comm3 c left join most using (label) join side using (label)""",
     "variance_given": """with r as (select s_suppkey + 1 as component, s_acctbal / sum(s_acctbal) over () as x from supplier where s_acctbal > 0)
         select component, round(x, 6) as explained_variance_ratio, round(sum(x) over (order by component), 6) as cumulative_explained_variance, component <= 32 as retained from r""",
     "node_assignment": """with g as (select label, row_number() over (order by count(*) desc, min(node)) as community from given group by label)

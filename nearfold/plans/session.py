@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` by way of a Parquet table in folder(): a checkpoint keeps what the optimiser knows of its columns, from which it infers
+    filters without end where joins go on from columns that were equal once."""
+    path = f"{folder(df.sparkSession)}/nearfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared(spark: SparkSession, path: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """make() once for a session and the files at ``path`` as they are now, checkpointed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfold import build
 from nearfold.operators import components as C
 from nearfold.operators import features as P
 from nearfold.operators import graph as G
@@ -191,6 +192,8 @@ def test_nodal_domains_of_two_cliques(spark):
     assert sorted(x[0] for x in found.groupBy("domain").agg(F.sort_array(F.collect_list("node"))).select(F.col("sort_array(collect_list(node), true)")).collect()) == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
     cut = L.cut_metrics(e, found).first()
     assert cut.crossing_edges == 1 and abs(cut.normalized_cut - 2 / 21) < 1e-12
+    with pytest.raises(Exception, match="zero"):
+        L.nodal_domains(e, v.withColumn("q", F.when(F.col("node") == 4, 1e-8).otherwise(F.col("q")))).collect()
     zero = v.withColumn("q", F.when(F.col("node") == 4, 0.0).otherwise(F.col("q")))
     with pytest.raises(Exception, match="zero"):
         L.nodal_domains(e, zero).collect()
@@ -229,6 +232,24 @@ def test_leiden_on_planted_groups(spark, pairs, groups):
     assert C.group_connectivity(e, labels).where("parts <> 1").count() == 0
 
 
+def test_leiden_of_graphs_that_do_not_fit_a_task(spark):
+    """Made smaller by joins first: connected communities, their quality, and nearly that of one task."""
+    r = np.random.default_rng(8)
+    pairs = {(min(u, v), max(u, v)) for u in range(120) for v in r.integers(0, 120, 9).tolist() if u != v and (u // 20 == v // 20 or r.random() < 0.08)}
+    e, n = graph(spark, sorted(pairs), lambda u, v: 1 + (u * v) % 2)
+    both = e.withColumn("graph", F.lit(3)).unionByName(graph(spark, RING)[0].withColumn("graph", F.lit(7)))
+    found = M.communities(both, (521,), one_task=40).toPandas()
+    one = M.communities(both, (521,)).toPandas()
+    assert sorted(found[found.graph == 3].node) == sorted(x.node for x in n.collect())
+    labels = spark.createDataFrame(found[found.graph == 3][["node", "label"]])
+    q = found[found.graph == 3].quality.iloc[0]
+    assert abs(I.modularity(I.community_table(e, labels)).first()[0] - q) < 1e-9
+    assert C.group_connectivity(e, labels).where("parts <> 1").count() == 0
+    assert q >= 0.95 * one[one.graph == 3].quality.iloc[0] and (found.label == found.groupby(["graph", "label"]).node.transform("min")).all()
+    assert found[found.graph == 7].sort_values("node").label.tolist() == [0] * 4 + [4] * 4 + [8] * 4 + [12] * 4
+    assert found.equals(M.communities(both, (521,), one_task=40).toPandas().set_index(["graph", "node"]).loc[list(zip(found.graph, found.node))].reset_index()[found.columns])
+
+
 def test_leiden_is_the_same_for_a_seed_and_near_the_best():
     r = np.random.default_rng(4)
     graph_ = [{} for _ in range(9)]
@@ -313,6 +334,27 @@ def test_track_records(spark, tmp_path):
         S.strict(S.extract_features(t)).collect()
 
 
+def test_build(spark, tmp_path):
+    r = np.random.default_rng(1)
+    rows = []
+    for k in range(40):
+        cov = np.diag(r.random(13) + 0.1).tolist()
+        rows.append(record(f"t{k:02d}", mean=r.standard_normal(13).tolist(), cov=cov, hmean=r.random(36).tolist(), var=r.random(36).tolist(), bpm=float(r.integers(60, 180))))
+    (tmp_path / "tracks.jsonl").write_text("\n".join(json.dumps(x) for x in rows))
+    curve = {x.k: x for x in build.build(spark, str(tmp_path / "tracks.jsonl"), str(tmp_path / "out"), dimensions=8, k_max=12, save_graphs=True).collect()}
+    assert sorted(curve) == list(range(2, 13)) and curve[12].n_components == 1
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert len(read("features").first().f) == 8 and len(read("raw").first().f) == 100 and read("neighbors").count() == 40 * 12
+    assert read("edges").where("birth <= 3").count() == curve[3].edges
+    csv = sinks.read_csv(spark, str(tmp_path / "out" / "connectivity"), "k int, edges long, n_components long, largest_component_size long")
+    assert {x.k: x.edges for x in csv.collect()} == {k: x.edges for k, x in curve.items()}
+    assert spark.read.json(str(tmp_path / "out" / "nodes")).count() == 40
+    with pytest.raises(Exception, match="(?i)exists"):
+        build.build(spark, str(tmp_path / "tracks.jsonl"), str(tmp_path / "out"), dimensions=8, k_max=12)
+    with pytest.raises(ValueError):
+        build.build(spark, "x", "y", k_min=5, k_max=4)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, None)], "k long, x double")
     sinks.write_csv_bom(df, str(tmp_path / "c"))
