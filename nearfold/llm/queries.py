@@ -70,7 +70,77 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.link_embeddings(read(spark, sf_dir, "embeddings"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_pii that SQL can say."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_licenses that SQL can say."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_secrets that SQL can say."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES = {"op1_pii": op1_pii, "op2_licenses": op2_licenses, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_minhash": op6_minhash, "op7_substring": op7_substring, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_embedding": op10_embedding}
+#: Parts of op1, op2 and op9, beside SQL for them.
+QUERIES |= {"pii_base": pii_base, "license_base": license_base, "secret_base": secret_base}
+
+#: kind, pattern, what a match x has to be. Starts are the lengths of the pieces up to a match and of the matches before it.
+_PII_RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: cast(p as hugeint) > 255)) = 0"),
+    (
+        "card",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        """len(regexp_replace(x, '[^0-9]', '', 'g')) between 14 and 19 and list_sum(list_transform(range(1, len(regexp_replace(x, '[^0-9]', '', 'g')) + 1), lambda i:
+          case when i % 2 = 1 then cast(reverse(regexp_replace(x, '[^0-9]', '', 'g'))[i] as int)
+          else cast(reverse(regexp_replace(x, '[^0-9]', '', 'g'))[i] as int) * 2 - case when cast(reverse(regexp_replace(x, '[^0-9]', '', 'g'))[i] as int) > 4 then 9 else 0 end end)) % 10 = 0""",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace(x, '[^0-9]', '', 'g')) between 10 and 15"),
+)
+_ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_SECRET_RULES = (
+    ("assign", _ASSIGN, r"""len(regexp_extract(x, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 12"""),
+    ("access", "AKIA[A-Z0-9]+", "len(x) >= 18"),
+    ("hex", "[0-9a-f]+", "len(x) >= 16"),
+)
+
+
+def _span_sql(rules: tuple[tuple[str, str, str], ...]) -> str:
+    each = [
+        f"""select doc_id, {k} as k, '{name}' as kind, gaps, found, unnest(range(1, len(found) + 1)) as i
+          from (select doc_id, regexp_split_to_array(t, '{pattern}') as gaps, regexp_extract_all(t, '{pattern}') as found from docs)"""
+        for k, (name, pattern, _) in enumerate(rules)
+    ]
+    good = " ".join(f"when '{name}' then {check}" for name, _, check in rules)
+    counts = ", ".join(f"count(*) filter (kind = '{name}') as n_{name}" for name, _, _ in rules)
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+matched as ({" union all ".join(each).replace("doc_id,", "r,").replace("from (select doc_id", "from (select r")}),
+placed as (
+  select r, k, kind, found[i] as x, cast(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: len(m))), 0) as bigint) as start
+  from matched
+), valid as (select * from placed where case kind {good} end),
+spans as (select r, {counts}, string_agg(kind || ':' || start || ':' || (start + len(x)), ',' order by start, k) as listed from valid group by r)
+select doc_id, {", ".join(f"coalesce(n_{name}, 0) as n_{name}" for name, _, _ in rules)}, sha256(coalesce(listed, '')) as base_sha256
+from docs left join spans using (r)
+"""
+
+
+#: Words, and the places of the fixed phrases among them.
+LICENSE_BASE_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), phrases as (select * from (values (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) t(p, label)),
+places as (select r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) as place from docs, phrases),
+found as (select r, count(*) as n, min(place) as first, max(place) as last, array_to_string(list_sort(list(distinct label)), ',') as labels from places group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, first as first_word, last as last_word, coalesce(labels, '') as base_labels
+from docs left join found using (r)
+"""
 
 #: All pairs within a label, their links as counts and as components; the rest of op10's contract is arithmetic.
 OP10_SQL = """
@@ -163,4 +233,4 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(len(d.w) - coalesce(k
 from docs d left join kept k using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_minhash": OP6_SQL, "op7_substring": OP7_SQL, "op10_embedding": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_minhash": OP6_SQL, "op7_substring": OP7_SQL, "op10_embedding": OP10_SQL, "pii_base": _span_sql(_PII_RULES), "license_base": LICENSE_BASE_SQL, "secret_base": _span_sql(_SECRET_RULES)}
