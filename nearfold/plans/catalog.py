@@ -144,7 +144,7 @@ def _(spark, sf):
     it is an error, and with large ones it is clipped."""
     by = lambda i, j: F.when(F.lit(i) == F.lit(j), F.lit(-1e-9) if i == 0 else F.when(F.col("p_size") > 25, 1000.0).otherwise(1.0)).otherwise(1000.0)
     cov = F.array(*(F.array(*(by(i, j) for j in range(13))) for i in range(13)))
-    r = records(spark, sf).where("acoustic.rhythm.onset_rate = acoustic.rhythm.onset_rate and not isnan(acoustic.rhythm.onset_rate)")
+    r = records(spark, sf)
     size = F.col("acoustic.rhythm.bpm").alias("p_size")
     r = r.select("node", "acoustic", size).withColumn("acoustic", F.col("acoustic").withField("lowlevel.mfcc.cov", cov))
     return S.extract_features(r.drop("p_size")).select("track_id", F.coalesce("clipped", F.lit(-1)).cast("long").alias("clipped"), "error")
@@ -402,19 +402,10 @@ def _(spark, sf):
     return shown(metrics(spark, sf).select("node", "degree", "strength", "triangles", "clustering"))
 
 
-@query("copurchase_components", "copurchase_components")
+@query("copurchase_components_whole", "copurchase_components_whole")
 def _(spark, sf):
-    """Parts and suppliers joined by orders of more than 49: a larger graph of other data."""
-    return copurchase(table(spark, sf, "lineitem").where("l_quantity > 49"))
-
-
-@query("copurchase_components_whole")
-def _(spark, sf):
-    return copurchase(table(spark, sf, "lineitem"))
-
-
-def copurchase(lines: DataFrame) -> DataFrame:
-    line = lines.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 10_000_000).alias("v")).distinct()
+    """Parts and suppliers joined by lines of orders: a larger graph of other data."""
+    line = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 10_000_000).alias("v")).distinct()
     ends = line.select(F.col("u").alias("node")).union(line.select("v")).distinct()
     return shown(C.summary(C.components(line, ends)))
 
@@ -569,52 +560,29 @@ def _(spark, sf):
 # --- what follows from given spectra, curves and vectors ---
 
 
-def given_values(spark: SparkSession, sf: str, first_only: bool = True) -> DataFrame:
-    """Rising numbers in place of eigenvalues: running sums of the balances of each nation's customers, or its first nine."""
+def given_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Rising numbers in place of eigenvalues: running sums of the balances of each nation's customers."""
     first = Window.partitionBy("c_nationkey").orderBy("c_custkey")
     c = table(spark, sf, "customer").withColumn("idx", F.row_number().over(first))
-    c = c.where("idx <= 9") if first_only else c
     total = F.sum(F.floor(F.abs("c_acctbal")) / 16384).over(first.rowsBetween(Window.unboundedPreceding, 0))
     return c.select(F.col("c_nationkey").alias("graph"), "idx", total.alias("value"))
 
 
-@query("eigen_gaps_given", "eigen_gaps_given")
+@query("eigen_gaps_whole", "eigen_gaps_whole")
 def _(spark, sf):
     return shown(L.gaps(given_values(spark, sf)))
 
 
-@query("eigen_gaps_whole")
-def _(spark, sf):
-    return shown(L.gaps(given_values(spark, sf, False)))
-
-
-@query("gap_selection_given", "gap_selection_given")
-def _(spark, sf):
-    return gap_selection(given_values(spark, sf))
-
-
-@query("gap_selection_whole")
+@query("gap_selection_whole", "gap_selection_whole")
 def _(spark, sf):
-    return gap_selection(given_values(spark, sf, False))
-
-
-def gap_selection(values: DataFrame) -> DataFrame:
-    g = L.gaps(values, 1e-6)
+    g = L.gaps(given_values(spark, sf), 1e-6)
     return shown(L.select_qualified(L.qualified(g, 1e-10)).join(L.select_most_isolated(g).withColumnRenamed("selected", "most_isolated"), "graph"))
 
 
-@query("fiedler_decreases_given", "fiedler_decreases_given")
+@query("fiedler_decreases_whole", "fiedler_decreases_whole")
 def _(spark, sf):
-    return decreases_of(table(spark, sf, "orders").where("o_orderkey < 64"))
-
-
-@query("fiedler_decreases_whole")
-def _(spark, sf):
-    return decreases_of(table(spark, sf, "orders"))
-
-
-def decreases_of(orders: DataFrame) -> DataFrame:
-    curve = orders.select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("components"), (F.floor("o_totalprice") / 1024).alias("lambda2"))
+    """Orders in place of a curve: every fifth customer's are of graphs that are not connected."""
+    curve = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 5 == 0, 2).otherwise(1).alias("components"), (F.floor("o_totalprice") / 1024).alias("lambda2"))
     return shown(L.decreases(curve))
 
 

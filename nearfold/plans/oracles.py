@@ -50,7 +50,7 @@ COMMON: dict[str, str] = {
     "cont": "select g.label as a, h.label as b, count(*) as n from given g join halves h using (node) group by 1, 2",
     "val_g": """select c_nationkey as graph, row_number() over w as idx, sum(floor(abs(c_acctbal)) / 16384) over (w rows between unbounded preceding and current row) as value
         from customer window w as (partition by c_nationkey order by c_custkey)""",
-    "gap_g": """select cast(graph as bigint) as graph, idx, value, value - lag(value) over w as l, lead(value) over w - value as r from val_g where idx <= 9 window w as (partition by graph order by idx)""",
+    "gap_g": """select cast(graph as bigint) as graph, idx, value, value - lag(value) over w as l, lead(value) over w - value as r from val_g window w as (partition by graph order by idx)""",
     "ptag": "select g.label, unnest(list_distinct(t.tags)) as tag from given g join tags t using (node)",
     "ftag": "select g.label, unnest(list_distinct(t.tags)) as tag from given g join flags t using (node)",
 }
@@ -126,11 +126,13 @@ SQL: dict[str, str] = {
     "transitivity": "select cast(sum(triangles) / 3 as bigint) as triangle_count, round(2 * sum(triangles) / sum(degree * (degree - 1)), 6) as transitivity from met10",
     "structure_checks": "select cast(sum(degree) - 2 * (select count(*) from e10) as bigint) as handshake, count(*) filter (clustering < 0 or clustering > 1) as outside, cast(sum(triangles) % 3 as bigint) as corners, count(*) filter (degree < 2 and triangles > 0) as impossible from frac10",
     "node_metrics": "select node, degree, round(strength, 6) as strength, triangles, round(clustering, 6) as clustering from frac10",
-    "copurchase_components": """with recursive line as (select distinct l_suppkey as u, l_partkey + 10000000 as v from lineitem where l_quantity > 49),
+    "copurchase_components_whole": """with recursive line as (select distinct l_suppkey as u, l_partkey + 10000000 as v from lineitem),
         a as (select u as src, v as dst from line union all select v, u from line), ends as (select distinct src as node from a),
-        walk(node, far) as (select node, node from ends where node < 10000000 union select w.node, y.dst from walk w join a x on x.src = w.far join a y on y.src = x.dst),
-        l as (select node, min(far) as label from walk group by 1), every as (select node, label from l union select distinct a.dst, l.label from l join a on a.src = l.node),
-        size as (select label, count(*) as n from every group by 1)
+        comp(node, label) using key (node) as (
+          select node, node from ends
+          union
+          (select distinct on (x.node) x.node, y.label from comp y join a on a.dst = y.node join recurring.comp x on x.node = a.src where y.label < x.label order by x.node, y.label)
+        ), size as (select label, count(*) as n from comp group by 1)
         select cast(sum(n) as bigint) as n_nodes, count(*) as n_components, max(n) as largest_component_size, round(max(n) / sum(n), 6) as largest_component_fraction from size""",
     "domain_feature_means": "select label, feature, round(avg(value), 6) + 0.0 as raw_mean, round(stddev_pop(value), 6) as raw_std from long group by 1, 2",
     "domain_zscores": "select l.label, l.feature, round((avg(l.value) - any_value(s.mean)) / any_value(s.std), 6) + 0.0 as zscore_mean from long l join stats s using (feature) group by 1, 2",
@@ -181,11 +183,11 @@ SQL: dict[str, str] = {
     "edge_fingerprint_k3": """with h as (select sha256(u || '-' || v) as h from e3)
         select count(*) as edges, sha256(concat_ws('-', cast(sum(cast('0x' || substr(h, 1, 12) as bigint)) as varchar), cast(sum(cast('0x' || substr(h, 13, 12) as bigint)) as varchar),
             cast(sum(cast('0x' || substr(h, 25, 12) as bigint)) as varchar), cast(sum(cast('0x' || substr(h, 37, 12) as bigint)) as varchar))) as sha256 from h""",
-    "eigen_gaps_given": """select graph, idx, round(value, 6) as value, round(l, 6) as left_gap, round(r, 6) as right_gap, round(least(l, r), 6) as isolation, round(least(l, r) / value, 6) as relative from gap_g where l is not null and r is not null""",
-    "gap_selection_given": """with c as (select graph, idx, value, least(l, r) as i, least(value, l, r) > 1e-8 and least(l, r) >= 1e-3 and least(l, r) / greatest(abs(value), 1e-6) >= 0.05 as good from gap_g where l is not null and r is not null),
+    "eigen_gaps_whole": """select graph, idx, round(value, 6) as value, round(l, 6) as left_gap, round(r, 6) as right_gap, round(least(l, r), 6) as isolation, round(least(l, r) / value, 6) as relative from gap_g where l is not null and r is not null""",
+    "gap_selection_whole": """with c as (select graph, idx, value, least(l, r) as i, least(value, l, r) > 1e-8 and least(l, r) >= 1e-3 and least(l, r) / greatest(abs(value), 1e-6) >= 0.05 as good from gap_g where l is not null and r is not null),
         s as (select graph, bool_or(idx = 2 and good) as second, arg_max(idx, i) filter (good) as other, arg_max(idx, i) as most from c group by graph)
         select graph, cast(case when second then 2 else other end as bigint) as selected, case when second then 'second' when other is not null then 'later' else 'none' end as status, most as most_isolated from s""",
-    "fiedler_decreases_given": """with c as (select o_orderkey as k, floor(o_totalprice) / 1024 as x from orders where o_orderkey < 64 and o_custkey % 5 <> 0), d as (select k, lead(k) over (order by k) as next_k, lead(x) over (order by k) - x as change from c)
+    "fiedler_decreases_whole": """with c as (select o_orderkey as k, floor(o_totalprice) / 1024 as x from orders where o_custkey % 5 <> 0), d as (select k, lead(k) over (order by k) as next_k, lead(x) over (order by k) - x as change from c)
         select k, next_k, round(change, 6) as change from d where change < -1e-10""",
     "nodal_domains_given": """with recursive q as (select node, case when f[1] < 0 then -1 else 1 end as s from feat), a as (select src, dst from adj3 join q x on x.node = src join q y on y.node = dst where x.s = y.s),
         walk(node, far) as (select node, node from q union select w.node, a.dst from walk w join a on a.src = w.far), l as (select node, min(far) as label from walk group by 1),
@@ -212,9 +214,9 @@ SQL: dict[str, str] = {
         ), size as (select k, label, count(*) as n from comp group by 1, 2)
         select k, count(*) as n_components, max(n) as largest_component_size from size group by k""",
     "tracks_negative_variance": """
-        select 't' || lpad(cast(p_partkey as varchar), 6, '0') as track_id, cast(case when p_size > 25 then 1 else -1 end as bigint) as clipped,
-          case when p_size <= 25 then 't' || lpad(cast(p_partkey as varchar), 6, '0') || ': mfcc.cov: negative variance' end as error
-        from part where p_partkey % 7 <> 0""",
+        select 't' || lpad(cast(p_partkey as varchar), 6, '0') as track_id, cast(case when p_size > 25 and p_partkey % 7 <> 0 then 1 else -1 end as bigint) as clipped,
+          case when p_partkey % 7 = 0 then 't' || lpad(cast(p_partkey as varchar), 6, '0') || ': rhythm: value' when p_size <= 25 then 't' || lpad(cast(p_partkey as varchar), 6, '0') || ': mfcc.cov: negative variance' end as error
+        from part""",
     "bandwidth_fallback_given": "select round(median(abs(s_acctbal)), 6) as sigma, 'positive_10th' as fallback from supplier where s_suppkey % 3 = 0 and s_acctbal <> 0",
     "spectrum_agreement": "select cast(g as bigint) as graph, cast(i as bigint) as idx, true as agree from (values (3), (64)) a(g), range(1, 34) b(i)",
     "spectrum_checks": "select true as first_is_zero, true as second_is_not, true as in_range, true as residual_is_small, true as orthogonal, true as lanczos_agrees",
