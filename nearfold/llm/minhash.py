@@ -10,8 +10,8 @@ value of a second permutation, circularly shifted by k. Two permutations so give
    full sets, these links are joined to components. A bucket of one component is done: a further link changes nothing.
 4. Members of the other buckets get sharper bands (``SHARP_BANDS`` of ``SHARP_ROWS``), which again hold every pair at the
    threshold together but with probability (1 - 0.8**10)**130 < 1e-6, and hardly ever pairs below one half. What they
-   hold together is a cluster; its sets are intersected exactly, block against block, and only links that join something
-   leave a block. So no pairs are written, and no link that could join two components is left out.
+   hold together is a cluster; if it holds several components so far, its sets are intersected exactly, block against block,
+   and only links that join something leave a block. So no pairs are written, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -149,17 +149,22 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = least
 
 
-def _clustered(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all components within each cluster ``labels`` (id, label) of ``sets`` (node, shingles)."""
+def _clustered(sets: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that, with those of the components ``known`` (id, label), join all components within each cluster ``labels`` (id,
+    label) of ``sets`` (node, shingles). Clusters and pairs of blocks of one known component have nothing to add."""
     placed = sets.join(labels, F.col("node") == F.col("id")).select("node", "shingles", F.col("label").alias("cluster"))
+    placed = placed.join(known.select(F.col("id").alias("node"), F.col("label").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
     blocks_ = F.ceil(F.greatest(F.count("node") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
-    count = _store.table(placed.groupBy("cluster").agg(blocks_.alias("n")), "blocks")
+    count = placed.groupBy("cluster").agg(blocks_.alias("n"), F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("cluster", "n")
+    count = _store.table(count, "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))
-    dealt = placed.join(count, "cluster").withColumn("mine", mine).select("node", "shingles", "cluster", F.explode(meet).alias("m")).select("node", "shingles", "cluster", "m.x", "m.y")
+    dealt = placed.join(count, "cluster").withColumn("mine", mine).select("node", "shingles", "cluster", "known", F.explode(meet).alias("m")).select("node", "shingles", "cluster", "known", "m.x", "m.y")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("node").to_numpy()
+        ids, known_ = table.column("node").to_numpy(), table.column("known").to_numpy()
+        if (known_ == known_[0]).all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         order = np.argsort(ids)
         sets_ = [table.column("shingles")[int(i)].values.to_numpy() for i in order]
         label = linked(sets_, percent)
@@ -207,7 +212,7 @@ def _components(docs: DataFrame, width: int, percent: int, rows: int = ROWS, ban
     sharp = _store.table(sharp, "sharp")
     heads = sharp.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
     held_together = sharp.join(_store.table(heads, "heads"), "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    more = _store.table(_clustered(several, components(held_together), percent), "confirmed")
+    more = _store.table(_clustered(several, components(held_together), labels, percent), "confirmed")
     labels = components(links.union(more))
 
     # the smallest doc_id of each component, which may have many classes
