@@ -152,11 +152,12 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _clustered(sets: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that, with those of the components ``known`` (id, label), join all components within each cluster ``labels`` (id,
     label) of ``sets`` (node, shingles). Clusters and pairs of blocks of one known component have nothing to add."""
-    placed = sets.join(labels, F.col("node") == F.col("id")).select("node", "shingles", F.col("label").alias("cluster"))
-    placed = placed.join(known.select(F.col("id").alias("node"), F.col("label").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    small = labels.select(F.col("id").alias("node"), F.col("label").alias("cluster")).join(known.select(F.col("id").alias("node"), F.col("label").alias("known")), "node", "left")
+    small = _store.table(small.withColumn("known", F.coalesce("known", "node")), "clusters")
+    open_ = small.groupBy("cluster").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("cluster")
+    placed = sets.join(small.join(open_, "cluster"), "node").select("node", "shingles", "cluster", "known")
     blocks_ = F.ceil(F.greatest(F.count("node") / BLOCK_SETS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int")
-    count = placed.groupBy("cluster").agg(blocks_.alias("n"), F.min("known").alias("x"), F.max("known").alias("y")).where("x < y").select("cluster", "n")
-    count = _store.table(count, "blocks")
+    count = _store.table(placed.groupBy("cluster").agg(blocks_.alias("n")), "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "mine").alias("x"), F.greatest(k, "mine").alias("y")))
     dealt = placed.join(count, "cluster").withColumn("mine", mine).select("node", "shingles", "cluster", "known", F.explode(meet).alias("m")).select("node", "shingles", "cluster", "known", "m.x", "m.y")
