@@ -7,7 +7,8 @@
 3. Pareto sampling (Rosen) ranks the documents of a source by (u / (1 - u)) / (p / (1 - p)), u from a hash of the document, and
    takes the smallest until the words that the certain copies leave open are filled: a sample of fixed size in words, with
    the inclusion probabilities asked for, whatever their differences. Where the source's rest ends within a document, the end
-   that is nearer counts. Ranks are found by sums over 2**LEVEL ranges of the order, twice, so that no task holds a source.
+   that is nearer counts. Ranks are found by sums over 2**LEVEL ranges of the order, twice, so that no task holds a source,
+   and within the last range by sums over its rows that are equal, in SPLIT pieces, so that no task holds all copies of one.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from . import _store
 #: Weights of the sources by code point, repeating, and the most that a document is repeated.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 LEVEL = 12
+#: Pieces of rows of equal order, doc_id and size.
+SPLIT = 1 << 12
 #: What the bits of a size are added to: a document of 2**10 words weighs (LEAD + 10) / LEAD times one of a single word.
 LEAD = 4
 #: ASCII white space separates words.
@@ -91,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     number = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.md5("text"), F.lit("")))
     hashed = F.conv(F.substring(F.md5(number), 1, 13), 16, 10).cast("long")  # 52 bits
     base = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), hashed.alias("hash"))
-    base = _store.table(base.withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1)), "sizes")
+    base = base.withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1)).withColumn("row", F.monotonically_increasing_id())
+    base = _store.table(base, "sizes")
     classes = _store.table(base.groupBy("source", "bits").agg(F.sum("size").alias("words")), "classes")
     goals = _store.table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most), "targets")
     classes = classes.where("bits is not null")
@@ -106,9 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     cut = left.select(F.col("source").alias("c"), "prefix", "open")
     part = F.shiftrightunsigned("order", 63 - 2 * LEVEL)
     at = ranked.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").withColumn("part", part)
-    # one range of 2**-24 of a source: its documents in order until the rest is used up, the last by the nearer end
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = at.where("part = prefix").withColumn("more", (F.col("open") - before > 0) & (F.col("open") - before >= F.col("size") / 2))
+    edge = _edge(at.where("part = prefix"))
     rest = at.where("prefix is null or part <> prefix").withColumn("more", F.coalesce(F.col("part") < F.col("prefix"), F.lit(False)))
     drawn = rest.unionByName(edge).select("doc_id", "source", "size", (F.col("whole") + F.col("more").cast("long")).alias("copies"))
     certain = joined.where("p = 0").select("doc_id", "source", "size", F.col("whole").alias("copies"))
@@ -117,6 +119,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def _edge(at: DataFrame) -> DataFrame:
+    """Adds ``more`` to the rows of one range of 2**-24 of each source: in order until the rest is used up, the last by the nearer end."""
+    same = ["source", "order", "doc_id", "size"]
+    at = at.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(SPLIT)))
+    sums = at.groupBy(*same, "piece").agg(F.sum("size").alias("n"))
+    upward = Window.partitionBy("source").orderBy("order", "doc_id", "size", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upward), F.lit(0)))
+    sums = _store.table(sums.select(*(F.col(c).alias(f"{c}_") for c in (*same, "piece")), "before"), "pieces")
+    alike = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*same, "piece")]
+    nth = F.row_number().over(Window.partitionBy(*same, "piece").orderBy("row")) - 1
+    left = F.col("open") - F.col("before") - nth * F.col("size")
+    return at.join(sums, alike).withColumn("more", (left > 0) & (left >= F.col("size") / 2)).drop(*(f"{c}_" for c in (*same, "piece")), "piece", "before")
+
+
 def _rank(joined: DataFrame) -> DataFrame:
     """Adds ``order``: the Pareto rank as a number of 63 bits, smallest first."""
     u = (F.col("hash").cast("double") + 0.5) / float(1 << 52)

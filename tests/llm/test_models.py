@@ -170,6 +170,18 @@ def test_inclusion_is_by_size(spark):
             assert abs(sum(run[k].taken for k in own) - target[own[0]]) <= max(sizes) / 2
 
 
+def test_mixing_takes_some_of_many_equal_rows(spark):
+    """Copies of one row, where the rest of a source ends among them: as many as fill it."""
+    rows = [(None, "a b c", "en", "a")] * 500 + [(7, "d e", "en", "a")] * 100 + [(k, "w " * (k % 9 + 1), "en", "b") for k in range(1_000, 1_300)]
+    got = mixing.mix(docs(spark, rows).repartition(7)).collect()
+    assert len(got) == len(rows) and sorted(got, key=str) == sorted(mixing.mix(docs(spark, rows).coalesce(1)).collect(), key=str)
+    for source_size in {x.source_size for x in got}:
+        own = [x for x in got if x.source_size == source_size]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 4.5
+    copies = [x.copies for x in got if x.doc_id is None]
+    assert len(copies) == 500 and set(copies) == {1, 2}
+
+
 def test_mixing_sql_gives_the_same_rows(spark, tmp_path):
     r = np.random.default_rng(2)
     rows = [(k if k % 9 else None, " ".join(f"w{k}" for _ in range(int(2 ** r.uniform(0, 8)) - 1)), "en", [None, "a", "b", "c", "d"][int(r.integers(0, 5) ** 2 // 5)]) for k in range(700)]
