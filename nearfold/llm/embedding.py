@@ -107,16 +107,19 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     for dim in dims:
         a, b = _linked(classes.where(F.col("dim") == dim), dim, threshold)
         links, counts = (a, b) if links is None else (links.union(a), counts.union(b))
-    held = named.where("sound").join(classes.select("label", "v", "id", "rep", "copies"), ["label", "v"]).select("vec_id", "id", "rep", "copies")
+    found = classes.select("label", "v", "id", "rep", "copies")
     if links is not None:
         linked = _store.table(components(links).join(classes.select("id", "rep"), "id"), "linked")
         least = _store.table(linked.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("rows")), "least")
-        labels = matched(linked, least, "label").select(F.col("id").alias("of"), "component")
-        total = counts.groupBy(F.col("id").alias("c")).agg(F.sum("n").alias("n"))
-        held = held.join(labels, F.col("id") == F.col("of"), "left").join(total, F.col("id") == F.col("c"), "left")
-        held = held.select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        labels = matched(linked, least, "label").select("id", "component")
+        total = counts.groupBy("id").agg(F.sum("n").alias("n"))
+        found = found.join(labels, "id", "left").join(total, "id", "left")
     else:
-        held = held.select("vec_id", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+        found = found.withColumn("component", F.lit(None).cast("long")).withColumn("n", F.lit(0).cast("long"))
+    n_links = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    # all that is known of a class, once for each, before its rows are met: a join of a table can be dealt anew where a class is hot
+    found = _store.table(found.select("label", "v", n_links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "found")
+    held = named.where("sound").join(found, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = named.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return held.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
