@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     single = _store.table(heads.select(*_ROW, "tie", "at", F.posexplode("windows").alias("nth", "hash")).select(*_ROW, "tie", (F.col("at") + F.col("nth")).alias("at"), "hash"), "windows")
     earliest = _store.table(single.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "earliest")
     alone = matched(single, earliest, "hash").where(place != F.col("first")).select(*_ROW, "at", F.lit(1).cast("long").alias("n"))
-    ranges = whole.union(alone).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "n")).alias("ranges"))
+    # written, so that the join can be dealt anew where many rows are equal
+    ranges = _store.table(whole.union(alone).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "n")).alias("ranges")), "ranges")
 
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     cut = some.join(ranges, list(_ROW), "left").select("doc_id", "text", "ranges").mapInArrow(_cut(window), schema)
