@@ -247,4 +247,5 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """The rows of ``docs`` that minhash_components() keeps, with all their columns."""
     _id, _of = fresh(docs, "id"), fresh(docs, "of")
     gone = _components(docs, width, percent).where("not kept").select(F.col("doc_id").alias(_id), F.col("of").alias(_of)).distinct()
+    gone = _store.table(gone, "gone")  # written, so that the join can be dealt anew where many rows are equal
     return docs.join(gone, (docs["doc_id"].cast("long") == F.col(_id)) & (F.xxhash64(docs["text"]) == F.col(_of)), "left_anti")
