@@ -325,6 +325,38 @@ def test_leiden_parts_are_connected():
     assert len(np.unique(C._roots(u[same], v[same], 60))) == len(np.unique(parts)) < 60 and (groups[parts] == groups).all()
 
 
+def test_each_leiden_run_is_a_partition(spark, monkeypatch):
+    """Dealt by a hash of (graph, seed), several runs met in one of four partitions."""
+    monkeypatch.setattr(M, "NODE_BY_NODE", 20)
+    both = graph(spark, RING)[0].withColumn("graph", F.lit(7)).unionByName(graph(spark, BRIDGE)[0].withColumn("graph", F.lit(3)))
+    found = M.communities(both).withColumn("part", F.spark_partition_id()).toPandas()
+    assert found.groupby(["graph", "seed"]).part.nunique().max() == 1 and found.part.nunique() == 10
+    assert len(found) == 5 * (16 + 10) and set(found[found.graph == 3].label) == {0, 5}
+    assert M.communities(both.where("graph > 9")).count() == 0
+
+
+def test_order_of_keys_that_do_and_do_not_fit_a_number_with_their_places():
+    key = np.random.default_rng(5).integers(0, 9, 1000)
+    for bound in (9, 1 << 60):
+        assert (A.order_of(key, bound) == np.argsort(key, kind="stable")).all()
+    assert len(A.order_of(key[:0], 9)) == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_links_into_groups_by_sorting_and_by_a_table(monkeypatch, few):
+    monkeypatch.setattr(A, "FEW_CELLS", few)
+    r = np.random.default_rng(5)
+    u, v = np.triu_indices(30, 1)
+    w, labels, nodes = r.random(len(u)), r.integers(0, 30, 30), np.array([4, 0, 29])
+    g = A.links(u, v, w, np.bincount(u, w, 30) + np.bincount(v, w, 30), w.sum())
+    want = {}
+    for x, y, z in [*zip(u, v, w), *zip(v, u, w)]:
+        for k in np.flatnonzero(nodes == x):
+            want[k, labels[y]] = want.get((k, labels[y]), 0) + z
+    row, c, into = A._into(g, labels, nodes)
+    assert list(zip(row, c)) == sorted(want) and np.allclose(into, [want[x] for x in sorted(want)])
+
+
 def test_restarts_are_checked_together(spark):
     e, _ = graph(spark, BRIDGE + [(20, 21)], lambda u, v: 1 + (u + v) % 3)
     labels = {1: lambda x: x // 5, 2: lambda x: x % 2}
