@@ -1,14 +1,17 @@
-"""Connected components of a link table, and joins with sums."""
+"""Connected components of a link table, joins with sums, and a sieve before joins of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
+from ._store import fresh
 
 #: Keys of at least this share of all rows are hot: there are fewer of them than 1 / HOT, whatever the data.
 HOT = 1 / 1_000
+#: Bits of a sieve, at most 131,072 rows; it lets through more as the keys grow.
+SIEVE_BITS = 1 << 23
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -48,3 +51,20 @@ def matched(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
     hot = sums.where(F.col("rows") > HOT * total)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sums.where(F.col("rows") <= HOT * total), key)
     return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def sifted(rows: DataFrame, keys: DataFrame, on: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows of which a key may be among ``keys``, rows of which none is): ``on`` has a column of ``rows`` for each of ``keys``.
+
+    A bit is set at the hash of each key, so whatever is not at one needs no join, and its text no shuffle. Every row is in one of
+    the two. The sieve is of a fixed size, so it goes to all executors.
+    """
+    word, bit, mask = (fresh(rows, c) for c in ("word", "bit", "mask"))
+    place = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    set_ = keys.select(place.alias("p")).select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, cast(p & 63 as int))").alias(mask))
+    sieve = _store.table(set_.groupBy(word).agg(F.bit_or(mask).alias(mask)), "sieve")
+    place = F.pmod(F.xxhash64(*on.values()), F.lit(SIEVE_BITS))
+    placed = rows.withColumns({word: F.shiftright(place, 6), bit: place.bitwiseAND(F.lit(63)).cast("int")})
+    held = placed.join(F.broadcast(sieve), word, "left").withColumn(bit, F.coalesce(F.expr(f"bit_get({mask}, {bit})") == 1, F.lit(False)))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return held.where(F.col(bit)).select(*own), held.where(~F.col(bit)).select(*own)

@@ -20,19 +20,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._links import matched
+from ._links import matched, sifted
 from ._words import SPACE, U64, blocks, lists, longs, mix, window_hash, words
 
 WINDOW, PHRASE = 20, 6
 #: A word is two letters of 32 in an automaton, a phrase 60 bits.
 _LETTER_BITS = 5
 _WORD_BITS = 2 * _LETTER_BITS
-#: Bits of the sieve that passes documents without recurring phrases by; it lets through more as the corpus grows.
-SIEVE_BITS = 1 << 23
 #: The document of null ids in the order of documents.
 _LAST = (1 << 63) - 1
 #: What tells rows apart: the document's place in the order, and a hash of the text. Rows equal in both are one.
@@ -154,30 +152,6 @@ def _cut(window: int):
     return run
 
 
-def _sieve(rows: DataFrame) -> np.ndarray:
-    """SIEVE_BITS bits of the hashes of ``rows`` (rank, of): of a fixed size, whatever the number of rows."""
-    parts = rows.select((_place() + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in parts.collect():  # numbers from 1, 32768 to a part
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + len(bits)] = bits
-    return out
-
-
-def _place() -> Column:
-    return F.pmod(F.xxhash64(*_ROW), F.lit(SIEVE_BITS))
-
-
-def _through(sieve: np.ndarray, yes: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("place").to_numpy()
-            hit = (sieve[p >> 3] >> (p & 7)) & 1 == 1
-            yield batch.select(["doc_id", *_ROW, "tie", "text"]).filter(pa.array(hit if yes else ~hit))
-
-    return run
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every row of ``docs`` (doc_id, text; more columns are not read).
 
@@ -195,9 +169,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     recurring = _store.table(phrases.groupBy("key").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows")).where("places > 1"), "recurring")
     held = matched(phrases.select("key", *_ROW), recurring.select("key", "rows"), "key").groupBy(*_ROW).agg(F.collect_set("key").alias("keys"))
     held = _store.table(held, "held")
-    sieve = _sieve(held)
-    placed = ranked.withColumn("place", _place())
-    some = placed.mapInArrow(_through(sieve, True), f"doc_id long, {row}, tie long, text string")
+    # in Spark, not in Python: a task then has one Python worker at a time
+    some, rest = sifted(ranked, held, {c: F.col(c) for c in _ROW})
     found = some.drop("doc_id").join(held, list(_ROW)).mapInArrow(_stretches(window, phrase), f"{row}, tie long, at long, key long, stretch long, windows array<long>")
     found = _store.table(found, "stretches")
 
@@ -219,5 +192,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     cut = some.join(ranges, list(_ROW), "left").select("doc_id", "text", "ranges").mapInArrow(_cut(window), schema)
-    rest = placed.mapInArrow(_through(sieve, False), f"doc_id long, {row}, tie long, text string").mapInArrow(_cut(window), schema)
-    return cut.union(rest)
+    return cut.union(rest.select("doc_id", "text").mapInArrow(_cut(window), schema))

@@ -1,10 +1,15 @@
-"""Components of chains, stars, trees and random links."""
+"""Components of chains, stars, trees and random links; sieves."""
 
 from __future__ import annotations
 
 import random
 
-from nearfold.llm._links import components
+from pyspark.sql import functions as F
+
+from nearfold.llm import substring
+from nearfold.llm._links import components, sifted
+
+from .fixtures import docs
 
 
 def test_components(spark):
@@ -28,3 +33,26 @@ def test_components(spark):
     got = {x.id: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: top(x) for p in links if p[0] != p[1] for x in p}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sieve_splits_rows_and_loses_no_key(spark):
+    rows = [(None if k % 50 == 0 else k, k % 7, k, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, word long, `mask.x` long")
+    keys = df.where("word % 10 = 0").select("a", "b")
+    some, rest = (x.collect() for x in sifted(df, keys, {"a": F.col("a"), "b": F.col("b")}))
+    assert sorted(r.word for r in some + rest) == list(range(3000))
+    assert {r.word for r in some} >= set(range(0, 3000, 10))
+    assert len(some) < 310  # 300 rows of keys, and few by chance
+    some, rest = sifted(df, keys.limit(0), {"a": F.col("a"), "b": F.col("b")})
+    assert (some.count(), rest.count()) == (0, 3000)
+    assert some.columns == rest.columns == df.columns
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_of_substring_has_one_python_worker(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    plan = _plan(substring.remove_repeats(docs(spark, [(1, words), (2, "x " + words), (3, "a b")])))
+    assert plan.count("MapInArrow") == 2  # of rows with repeats, and of the others
