@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._links import components, matched
+from ._links import components, matched, sifted
 from ._store import fresh
 from ._words import LOWER, SPACE, U64, blocks, grams, lists, longs, mix, words
 
@@ -200,7 +200,9 @@ def _components(docs: DataFrame, width: int, percent: int, rows: int = ROWS, ban
     best = meets.groupBy("node").agg(F.max_by("pivot", F.struct(F.col("n"), -F.col("pivot"))).alias("a"))
     star = _store.table(best.select("a", F.col("node").alias("b")), "pairs")
     wanted = signed.select(F.col("row").alias("node"), "doc_id", "of").join(members.select("node").distinct(), "node", "left_semi")
-    texts = docs.join(wanted, ["doc_id", "of"])  # a node's row, and rows equal to it
+    wanted = _store.table(wanted, "wanted")
+    some, _ = sifted(docs, wanted, {c: F.col(c) for c in ("doc_id", "of")})
+    texts = some.join(wanted, ["doc_id", "of"])  # a node's row, and rows equal to it
     sets = _store.table(texts.select("node", "text").mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     links = _store.table(_confirm(star, sets, percent), "confirmed")
     labels = components(links)
@@ -248,4 +250,5 @@ def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     _id, _of = fresh(docs, "id"), fresh(docs, "of")
     gone = _components(docs, width, percent).where("not kept").select(F.col("doc_id").alias(_id), F.col("of").alias(_of)).distinct()
     gone = _store.table(gone, "gone")  # written, so that the join can be dealt anew where many rows are equal
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(_id)) & (F.xxhash64(docs["text"]) == F.col(_of)), "left_anti")
+    some, rest = sifted(docs, gone, {_id: F.col("doc_id").cast("long"), _of: F.xxhash64("text")})
+    return some.join(gone, (some["doc_id"].cast("long") == F.col(_id)) & (F.xxhash64(some["text"]) == F.col(_of)), "left_anti").union(rest)

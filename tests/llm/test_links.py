@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from nearfold.llm import substring
+from nearfold.llm import minhash, substring
 from nearfold.llm._links import components, sifted
 
 from .fixtures import docs
@@ -56,3 +56,11 @@ def test_a_task_of_substring_has_one_python_worker(spark):
     words = " ".join(f"w{k}" for k in range(40))
     plan = _plan(substring.remove_repeats(docs(spark, [(1, words), (2, "x " + words), (3, "a b")])))
     assert plan.count("MapInArrow") == 2  # of rows with repeats, and of the others
+
+
+def test_near_duplicates_shuffle_only_texts_that_may_go(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    out = minhash.without_duplicates(docs(spark, [(1, words), (2, words), (3, "a b c"), (4, None)]))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+    gone = _plan(out).partition("LeftAnti")[2]
+    assert "bit_get" in gone  # a sieve stands before the join
