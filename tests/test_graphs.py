@@ -405,6 +405,47 @@ def test_links_into_groups_by_sorting_and_by_a_table(monkeypatch, few):
     assert list(zip(row, c)) == sorted(want) and np.allclose(into, [want[x] for x in sorted(want)])
 
 
+def test_links_of_a_batch_are_a_row_for_each_graph():
+    rows = [(3, 1, 2, 0.5), (64, 1, 2, 0.25), (3, 4, 9, 1.0)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(["graph", "u", "v", "w"], r)) for r in rows])
+    got = []
+    for b in M._packed(iter([batch])):
+        for x in b.to_pylist():
+            got += [(x["graph"], *y) for y in zip(np.frombuffer(x["u"], np.int64), np.frombuffer(x["v"], np.int64), np.frombuffer(x["w"]))]
+    assert got == sorted(rows)
+
+
+def test_table_of_groups_follows_moves(monkeypatch):
+    r = np.random.default_rng(6)
+    u, v = np.triu_indices(40, 1)
+    w, labels = r.random(len(u)), r.integers(0, 5, 40)
+    monkeypatch.setattr(A, "AT_ONCE", 100)
+    g = A.links(u, v, w, np.bincount(u, w, 40) + np.bincount(v, w, 40), w.sum())
+    table, nodes = A._Table(g, labels, np.unique(labels)), np.arange(40)
+    for _ in range(20):
+        go = r.choice(40, 7, replace=False)
+        goal, was = r.integers(0, 5, 7), labels[go]
+        labels[go] = goal
+        row, at = A._at(g, go)
+        assert table.moved(g.to[at], g.w[at], was[row], goal[row])
+        for x, y in zip(table.into(nodes[::-1]), A._into(g, labels, nodes[::-1])):
+            assert np.allclose(x, y)
+    assert not table.moved(np.array([1]), np.array([1.0]), np.array([0]), np.array([39]))
+
+
+def test_moves_look_at_links_of_few_groups_once(monkeypatch):
+    r = np.random.default_rng(7)
+    u, v = np.triu_indices(400, 1)
+    keep = r.random(len(u)) < np.where(u // 100 == v // 100, 0.5, 0.2)
+    u, v = u[keep], v[keep]
+    g = A.links(u, v, np.ones(len(u)), np.bincount(u, minlength=400) + np.bincount(v, minlength=400) + 0.0, float(len(u)))
+    looks, into = [], A._into
+    monkeypatch.setattr(A, "_into", lambda g, labels, nodes: (looks.append(len(nodes)), into(g, labels, nodes))[1])
+    labels = r.integers(0, 4, 400)
+    assert A._move(g, labels, np.random.default_rng(1))
+    assert sum(looks) < 400  # less than one round of all nodes
+
+
 def test_restarts_are_checked_together(spark):
     e, _ = graph(spark, BRIDGE + [(20, 21)], lambda u, v: 1 + (u + v) % 3)
     labels = {1: lambda x: x // 5, 2: lambda x: x % 2}
