@@ -544,6 +544,54 @@ def test_leiden_of_graphs_that_do_not_fit_a_task(spark):
     assert found.equals(M.communities(both, (521,), one_task=40).toPandas().set_index(["graph", "node"]).loc[list(zip(found.graph, found.node))].reset_index()[found.columns])
 
 
+def some_links(n, groups, seed):
+    r = np.random.default_rng(seed)
+    u, v = np.triu_indices(n, 1)
+    keep = r.random(len(u)) < np.where(u % groups == v % groups, 0.4, 0.05)
+    return u[keep], v[keep], r.integers(1, 5, int(keep.sum())) + 0.0
+
+
+def test_leiden_rows_do_not_depend_on_the_size_of_the_input(spark):
+    """A graph that is large for a task, and a small one, have the rows of the same steps on arrays."""
+    u, v, w = some_links(150, 6, 2)
+    e = spark.createDataFrame([(3, int(x), int(y), float(z)) for x, y, z in zip(u, v, w)], "graph int, u long, v long, w double").repartition(3)
+    rows = [sorted(map(tuple, M.communities(e, (521, 524), one_task=m).collect())) for m in (40, len(u), 10**9)]
+    assert rows[0] == rows[1] == rows[2]
+    for seed in (521, 524):
+        labels = A.leiden(u, v, w, 150, seed)
+        assert [r[2:] for r in rows[0] if r[1] == seed] == [(x, int(labels[x]), A.quality(u, v, w, labels)) for x in range(150)]
+
+
+@pytest.mark.parametrize("piece", [50, 1 << 20])
+def test_leiden_on_files_and_pieces_is_that_in_memory(monkeypatch, tmp_path, piece):
+    u, v, w = some_links(200, 8, 3)
+    u, v, w = np.append(u, [7, 9]), np.append(v, [7, 9]), np.append(w, [2.0, 1.0])  # loops too
+    want = [A.leiden(u, v, w, 200, s) for s in M.SEEDS]
+    monkeypatch.setattr(A, "PIECE", piece)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    made = []
+    make = lambda n, dtype: (made.append(n), A.in_file(n, dtype))[1]
+    mixed = np.random.default_rng(1).permutation(len(u))
+    a, b, x = A.ordered(u[mixed], v[mixed], w[mixed], 200, make)
+    order = np.argsort(u * 200 + v)
+    assert all((got == of[order]).all() for got, of in zip((a, b, x), (u, v, w)))
+    for seed, labels in zip(M.SEEDS, want):
+        assert (A.leiden(a, b, x, 200, seed, make) == A.leiden(u[order], v[order], w[order], 200, seed)).all()
+        assert (A.leiden(u, v, w, 200, seed, make) == labels).all()
+        assert (A.connected(u, v, labels) == labels).all()
+    assert made and not list(tmp_path.iterdir())
+
+
+def test_links_in_order_are_summed_by_pairs(monkeypatch):
+    monkeypatch.setattr(A, "PIECE", 7)
+    r = np.random.default_rng(4)
+    u, v, w = r.integers(3, 9, 60), r.integers(0, 9, 60), r.integers(1, 9, 60) + 0.0
+    a, b, x = A.ordered(u, v, w, 12, summed=True)
+    key = u * 12 + v
+    assert (a * 12 + b == np.unique(key)).all() and (x == [w[key == k].sum() for k in np.unique(key)]).all()
+    assert [len(y) for y in A.ordered(u[:0], v[:0], w[:0], 12, summed=True)] == [0, 0, 0]
+
+
 def test_leiden_is_the_same_for_a_seed_and_near_the_best():
     r = np.random.default_rng(4)
     graph_ = [{} for _ in range(9)]
