@@ -544,6 +544,17 @@ def test_leiden_of_graphs_that_do_not_fit_a_task(spark):
     assert found.equals(M.communities(both, (521,), one_task=40).toPandas().set_index(["graph", "node"]).loc[list(zip(found.graph, found.node))].reset_index()[found.columns])
 
 
+def test_stability_of_restarts_does_not_depend_on_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    """The rows of graphs that are large for a task, and of graphs that are not."""
+    x, own = np.random.default_rng(12).standard_normal((90, 4)), M.communities
+    rows = []
+    for edges_ in (40, 10**9):
+        spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{edges_}/embeddings.parquet")
+        monkeypatch.setattr(M, "communities", lambda e: own(e, one_task=edges_))
+        rows.append([sorted(map(tuple, catalog.QUERIES[n](spark, f"{tmp_path}/{edges_}").collect())) for n in ("restart_stability", "leiden_restarts")])
+    assert rows[0] == rows[1] and [len(r) for r in rows[0]] == [2, 10]
+
+
 def some_links(n, groups, seed):
     r = np.random.default_rng(seed)
     u, v = np.triu_indices(n, 1)
